@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_crf, language_id, quality_model, quality_rules, sentencepieces, token_store
+from . import decontamination, html_crf, language_id, licenses, quality_model, quality_rules, sentencepieces, token_store
 from .common import table
 
 #: Vocabulary files of public tokenizers are a parameter; they are not part of this repository.
@@ -41,6 +41,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as files, for the licence scan: source/lang/doc_id.txt.
+
+    A document that opens or ends with a licence line is a licence file: of its source if it has less than 400 characters,
+    else of the folder of its language there.
+    """
+    opens = F.lower(F.substring_index("text", "\n", 1)).rlike(licenses.HEADER) | F.lower(F.substring_index("text", "\n", -1)).rlike(licenses.HEADER)
+    source, lang, name = (F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in ("source", "lang", "doc_id"))
+    path = F.when(opens & (F.char_length("text") < 400), F.concat(source, F.lit("/LICENSE-"), name)).when(opens, F.concat(source, F.lit("/"), lang, F.lit("/LICENSE-"), name)).otherwise(F.concat(source, F.lit("/"), lang, F.lit("/"), name, F.lit(".txt")))
+    return docs.select("doc_id", "text", path.alias("path"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = as_files(table(spark, sf_dir, "documents"))
+    return licenses.scan(files).select(F.regexp_extract("path", r"([0-9]+)(?:\.txt)?$", 1).cast("bigint").alias("doc_id"), "path", "license", "score", "origin", "licensed_by")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_store(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).documents()
 
@@ -59,6 +76,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False)
@@ -66,6 +87,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_quality_rules, op4_token_store, op5_quality_classifier, op6_language_id, op10_sentencepiece)
+    for f in (op1_html_extraction, op2_quality_rules, op3_license_scan, op4_token_store, op5_quality_classifier, op6_language_id, op9_decontamination, op10_sentencepiece)
 }
 ORACLE_SQL: dict[str, str] = {}
