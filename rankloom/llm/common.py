@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -77,8 +78,9 @@ def batched(df: DataFrame, function, schema: str) -> DataFrame:
 
 
 def as_text(column: pa.Array) -> pa.Array:
-    """The column as strings with nulls as empty strings."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """The column as strings with nulls as empty strings, in an array of its own: some string kernels misread slices."""
+    text = pc.fill_null(column.cast(pa.large_string()), "")
+    return pa.concat_arrays([text, text.slice(0, 0)])
 
 
 class Words:
@@ -125,3 +127,9 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array
 
 def local_path(path: str) -> str:
     return os.fspath(path).removeprefix("file://")
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that are no longer used: its cleaner waits for a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
