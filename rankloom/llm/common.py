@@ -115,10 +115,18 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * STEP + hashes[j : j + n]
-    return mixed(out)
+    out, size, power = None, 0, hashes  # power: of 2 ** j hashes, doubled as k's bits are read
+    reach = 1
+    with np.errstate(over="ignore"):
+        while k:
+            if k & 1:
+                out = power if out is None else out[: len(out) - reach] * STEP ** np.uint64(reach) + power[size:]
+                size += reach
+            k >>= 1
+            if k:
+                power = power[:-reach] * STEP ** np.uint64(reach) + power[reach:]
+                reach *= 2
+    return mixed(out[:n])
 
 
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_crf, language_id, licenses, near_dedup, quality_model, quality_rules, sentencepieces, token_store
+from . import decontamination, html_crf, language_id, licenses, near_dedup, quality_model, quality_rules, sentencepieces, substring_dedup, token_store
 from .common import table
 
 #: Vocabulary files of public tokenizers are a parameter; they are not part of this repository.
@@ -76,6 +76,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_quality_rules, op3_license_scan, op4_token_store, op5_quality_classifier, op6_language_id, op8_near_dedup, op9_decontamination, op10_sentencepiece)
+    for f in (op1_html_extraction, op2_quality_rules, op3_license_scan, op4_token_store, op5_quality_classifier, op6_language_id, op7_substring_dedup, op8_near_dedup, op9_decontamination, op10_sentencepiece)
 }
 ORACLE_SQL: dict[str, str] = {}
