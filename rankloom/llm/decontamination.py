@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 GRAM, SPAN = 5, 10
 MAX_BROADCAST = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,6 +101,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .groupBy("id", "version")
         .agg(F.max("n_words").alias("n_words"), F.max(F.coalesce("known", F.lit(False))).alias("found"))
     )
+    stats = written(stats, "stats")  # a few numbers a document, so that fingerprints are taken once
     found = stats.where("found").select("id", "version")
     suspects = keyed.alias("d").join(found.alias("f"), F.expr("d.id <=> f.id and d.version = f.version"), "left_semi").dropDuplicates(["id", "version"])
     hits = (
