@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def _type(name: str) -> T.DataType:
+    return T.ArrayType(_type(name[6:-1])) if name.startswith("array<") else _TYPES[name]
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema without a session, as the module is imported before there is one."""
+    return T.StructType([T.StructField(n, _type(t)) for n, t in (c.split() for c in spec.split(","))])
 
 
 CHUNK = _struct(
