@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import decontamination, html_crf, language_id, licenses, near_dedup, quality_model, quality_rules, sentencepieces, substring_dedup, token_store
 from .common import table
+from .oracles import ORACLE_SQL
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 #: Vocabulary files of public tokenizers are a parameter; they are not part of this repository.
 TOKENIZER_DIR = "RANKLOOM_TOKENIZERS"
 
@@ -97,4 +99,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_html_extraction, op2_quality_rules, op3_license_scan, op4_token_store, op5_quality_classifier, op6_language_id, op7_substring_dedup, op8_near_dedup, op9_decontamination, op10_sentencepiece)
 }
-ORACLE_SQL: dict[str, str] = {}
