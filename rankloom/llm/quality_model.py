@@ -25,7 +25,8 @@ from .common import Words, as_text, batched, mixed
 
 BITS = 18
 MAX_ROWS = 8000
-EPOCHS = 4
+#: Passes over the training rows: as many as make TRAIN_STEPS updates, within these bounds.
+TRAIN_STEPS, LEAST_EPOCHS, MOST_EPOCHS = 32_000, 4, 40
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 SCALE = 8.0
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
         seen = [row for b in batches for row in zip(b.column("id").to_pylist(), b.column("y").to_pylist(), b.column("at").to_pylist(), b.column("x").to_pylist())]
         seen.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
         model = Ftrl()
-        for _ in range(EPOCHS if seen else 0):
+        for _ in range(min(MOST_EPOCHS, max(LEAST_EPOCHS, TRAIN_STEPS // len(seen))) if seen else 0):
             for _, y, at, x in seen:
                 model.update(np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4").astype(float), y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["w"])
