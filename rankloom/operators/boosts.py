@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import matches_any
 from .provisions import lookup
 
-# Wordings that show what a question asks for, and the signals' weights.
+# Wordings that show what a question asks for, the signals' weights, and how definitions, quotations and
+# other enactments are written.
 DEFINITION_INTENT = [r"\bwhat (?:counts as|is meant by)\b", r"\bmeaning of\b", r"\bdefinition of\b", r"\bdefines?\b", r"\bwhat does .{1,60} mean\b"]
 COMMENCEMENT_INTENT = [r"\b(?:come|comes|came|coming) into (?:force|effect)\b", r"\bcommencement\b", r"\bcommence[sd]?\b", r"\beffective (?:from|date)\b"]
 CORRECTION_INTENT = [r"\bcorrect(?:ed|ion|ions|s)?\b", r"\bcorrigend", r"\berrat", r"\bG\.?\s?S\.?\s?R\.?\s*892"]
@@ -26,7 +27,6 @@ DEFINED = r"^\s*(?:\([a-z0-9]+\)\s*)*[“\"]([^”\"]+)[”\"]\s+(?:means|includ
 QUOTED = r"[“\"']([^”\"']{2,60})[”\"']"
 OTHER_ACT = r"^\s*of\s+(?:the\s+)?(?!Act\b)[A-Z][A-Za-z()'’,&\s-]{0,200}?\b(?:Act|Code)\b"
 THIS_ACT = r"^\s*of\s+(?:this Act|the Act|the said Act|the Digital Personal Data Protection Act)"
-_ORDINAL = "(First|Second|Third|Fourth|Fifth|Sixth|Seventh) Schedule"
 
 
 def is_external(after: Column) -> Column:
@@ -58,9 +58,9 @@ def _spoken(kind: str, groups: tuple, text: str, end: int) -> list[tuple[str, st
 CITATION_FORMS = (
     ("verbose", r"\bsub-?\s?sections?\s+((?:\([a-z0-9]+\)(?:\s*(?:,|and|or)\s*)?)+)\s*of\s+section\s+(\d+[A-Z]?)"),
     ("section", r"\bsections?\s+(\d+[A-Z]?)((?:\s?\([a-z0-9]+\))*)"),
-    ("item", r"\bitem\s+(\d+)(?:\s+of\s+Part\s+([A-Z]))?\s+of\s+the\s+" + _ORDINAL.replace(" ", r"\s+")),
-    ("part", r"\bPart\s+([A-Z])\s+of\s+the\s+" + _ORDINAL.replace(" ", r"\s+")),
-    ("schedule", r"\b" + _ORDINAL.replace(" ", r"\s+") + r"\b"),
+    ("item", r"\bitem\s+(\d+)(?:\s+of\s+Part\s+([A-Z]))?\s+of\s+the\s+(First|Second|Third|Fourth|Fifth|Sixth|Seventh)\s+Schedule"),
+    ("part", r"\bPart\s+([A-Z])\s+of\s+the\s+(First|Second|Third|Fourth|Fifth|Sixth|Seventh)\s+Schedule"),
+    ("schedule", r"\b(First|Second|Third|Fourth|Fifth|Sixth|Seventh)\s+Schedule\b"),
     ("rule", r"\brules?\s+(\d+)((?:\s?\([a-z0-9]+\))*)"),
 )
 
