@@ -8,10 +8,11 @@ probability (1 - 0.75 ** ROWS) ** BANDS, under 3e-7.
 
 Equal sets are one node (its smallest id). Buckets never give all their pairs. Links are sought in rounds:
 1. each node against the leader (a random member) that it shares most bands with; 2. against the leaders of its
-other buckets, where the two are not yet in one group; 3. in buckets that still hold several groups, members outside
-the largest group against the others in blocks of signatures, of which each proposes its most similar untested
-members of every other group, until none is left whose signatures agree in MAYBE of the coordinates or more
-(4 deviations below the threshold). Every proposal is decided on the full sets. Groups are connected components,
+other buckets, where the two are not yet in one group; 3. in buckets that still hold several groups, members outside the
+largest group against all, in blocks of at most BLOCK by BLOCK. A block compares signatures first (pairs that agree in
+fewer than MAYBE of the coordinates are 4 deviations below the threshold), then whole sets cut to 32 bits a shingle,
+each pair in the first bucket that its two members share; only pairs that come within NEAR of the threshold leave it.
+Every proposal is decided on the full sets. Groups are connected components,
 found by alternating large-star and small-star steps over tables; nothing is gathered on the driver.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; fewer than SHINGLE
@@ -37,8 +38,9 @@ BANDS, ROWS, CIRCLE = 40, 4, 20
 MAYBE = 0.60
 #: Ids up to this many are sent to all executors to pick their texts (8 bytes each); more are joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
-#: Rows of a side of a block in round 3, and proposals for each member and other group in one pass.
-BLOCK, PROPOSALS = 512, 3
+#: Rows of a side of a block in round 3. Sets of 32-bit hashes tell a similarity to within NEAR: two of a few thousand
+#: shingles collide once in 1,000 pairs.
+BLOCK, NEAR = 512, 0.005
 
 
 @functools.cache
@@ -144,69 +146,90 @@ def _with_group(rows: DataFrame, groups: DataFrame | None, id_col: str, name: st
     return rows.join(g, id_col, "left").withColumn(name, F.coalesce("__root", id_col)).drop("__root")
 
 
-def _proposals(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) to test, from rows (bucket, i, j, id, grp, side, sig, tested) sorted by block."""
-
-    def block(b: dict) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(b["sig"]), "<u2").reshape(len(b["id"]), -1)
-        ids, grp, side = np.array(b["id"]), np.array(b["grp"]), np.array(b["side"])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = [], []
-        for x in left:
-            other = right[grp[right] != grp[x]]
-            if not len(other):
+def compared(block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of a block of one bucket to verify: rows id, grp, side (1 left, 2 right, 3 both), sig, cut."""
+    sig = np.frombuffer(b"".join(block["sig"]), "<u2").reshape(len(block["id"]), BANDS, ROWS)
+    ids, grp, side = np.array(block["id"]), np.array(block["grp"]), np.array(block["side"])
+    cut = [np.frombuffer(c, "<u4") for c in block["cut"]]
+    own_band = (sig == sig[0]).all(2).all(0).argmax()  # the first band that all share
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    out_a, out_b = [], []
+    for x in left:
+        other = right[(grp[right] != grp[x]) & ~((side[right] == 3) & (side[x] == 3) & (ids[right] < ids[x]))]
+        if not len(other):
+            continue
+        same = sig[other] == sig[x]
+        other = other[(same.mean((1, 2)) >= MAYBE) & (same.all(2).argmax(1) == own_band)]
+        joined = set()
+        for y in other:
+            if grp[y] in joined:
+                continue
+            a, b = (cut[x], cut[y]) if len(cut[x]) <= len(cut[y]) else (cut[y], cut[x])
+            if 100 * len(a) < (PERCENT - 1) * len(b):
+                continue
+            at = np.searchsorted(b, a)
+            at[at == len(b)] = 0
+            both = np.count_nonzero(b[at] == a)
+            alike = both / (len(a) + len(b) - both)
+            if alike < PERCENT / 100 - NEAR:
                 continue
-            agree = (sig[other] == sig[x]).mean(1)
-            other, agree = other[agree >= MAYBE], agree[agree >= MAYBE]
-            if b["tested"][x] is not None and len(other):
-                new = ~np.isin(ids[other], b["tested"][x])
-                other, agree = other[new], agree[new]
-            seen: dict[int, int] = {}
-            for y in other[np.argsort(-agree, kind="stable")]:
-                if seen.setdefault(grp[y], 0) < PROPOSALS:
-                    seen[grp[y]] += 1
-                    out_a.append(min(ids[x], ids[y])), out_b.append(max(ids[x], ids[y]))
-        return np.array(out_a, np.int64), np.array(out_b, np.int64)
-
-    names = ["id", "grp", "side", "sig", "tested"]
+            out_a.append(min(ids[x], ids[y])), out_b.append(max(ids[x], ids[y]))
+            if alike >= PERCENT / 100 + NEAR:  # surely linked: one link joins x to the group
+                joined.add(grp[y])
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
+def _proposals(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) to verify, from the sorted blocks of _open_blocks."""
+    names = ["id", "grp", "side", "sig", "cut"]
 
     def run(batches):
         held, key = {c: [] for c in names}, None
+
+        def done():
+            a, b = compared(held) if held["id"] else ((), ())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in names}
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
-            for r, k in enumerate(keys):
+            for r, k in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")))):
                 if k != key:
-                    if held["id"]:
-                        a, b = block(held)
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    yield from done()
                     held, key = {c: [] for c in names}, k
                 for c in names:
                     held[c].append(cols[c][r])
-        if held["id"]:
-            a, b = block(held)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield from done()
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _open_blocks(members: DataFrame, groups: DataFrame | None, tested: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Blocks of the buckets that hold more than one group: members outside the largest group (side 0), all (side 1)."""
+def cut_sets(texts: DataFrame) -> DataFrame:
+    """(id, cut): each set as sorted 32-bit hashes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cut = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in shingles(as_text(batch.column("text")))]
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cut, pa.binary())], names=["id", "cut"])
+
+    return batched(texts, run, "id bigint, cut binary")
+
+
+def _open_blocks(members: DataFrame, groups: DataFrame | None, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Blocks of the buckets that hold several groups: members outside the largest on the left, all on the right."""
     rows = _with_group(members.select("bucket", "id"), groups, "id", "grp")
     by_group = rows.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
     about = by_group.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("big"), F.count("*").alias("n_groups")).where("n_groups > 1")
-    about = about.select("bucket", F.col("big.grp").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("n_i"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n_j"))
-    rows = rows.join(about, "bucket")
+    size = about.select("bucket", F.col("big.grp").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("n_i"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n_j"))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = rows.where("grp != big").withColumn("side", F.lit(0)).withColumn("i", place("n_i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
-    right = rows.withColumn("side", F.lit(1)).withColumn("j", place("n_j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
-    cols = ["bucket", "i", "j", "id", "grp", "side"]
-    both = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    known = both.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("tested"))
-    blocks = left.select(cols).unionByName(right.select(cols))
-    return blocks.join(nodes.select("id", "sig"), "id").join(known, "id", "left").select(*cols, "sig", "tested").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    at = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    zero, outside = F.lit(0), F.col("grp") != F.col("big")
+    to_left = F.transform(F.sequence(zero, F.col("n_j") - 1), lambda j: at(1, place("n_i"), j))
+    to_right = F.transform(F.sequence(zero, F.col("n_i") - 1), lambda i: at(2, i, place("n_j")))
+    one = F.when(outside, F.array(at(3, zero, zero))).otherwise(F.array(at(2, zero, zero)))
+    to = F.when((F.col("n_i") == 1) & (F.col("n_j") == 1), one).when(outside, F.concat(to_left, to_right)).otherwise(to_right)
+    dealt = rows.join(size, "bucket").select("bucket", "id", "grp", F.explode(to).alias("to")).select("bucket", "to.i", "to.j", "id", "grp", "to.side")
+    held = nodes.select("id", "sig").join(cut_sets(texts), "id")
+    return dealt.join(held, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,26 +253,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = members.where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("bands"))
     stars = written(stars.select("id", "leader", "bands", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), "stars", scratch)
-    tested: DataFrame | None = None
     groups: DataFrame | None = None
-    step = 0
-    while n_ids:
-        step += 1
+    for step in (1, 2, 3) if n_ids else ():
         if step == 1:
             best = stars.groupBy("id").agg(F.max_by("leader", F.struct("bands", F.xxhash64("id", "leader"))).alias("leader"))
-            pairs = best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            pairs = tried = best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         elif step == 2:
-            pairs = stars.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+            pairs = stars.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
             pairs = _with_group(_with_group(pairs, groups, "a", "ga"), groups, "b", "gb").where("ga != gb").select("a", "b")
         else:
-            pairs = _proposals(_open_blocks(members, groups, tested, nodes))
+            pairs = _proposals(_open_blocks(members, groups, nodes, texts))
         pairs = written(pairs, "pairs", scratch)
-        if step > 2 and pairs.isEmpty():
-            break
-        done = written(verified(pairs, texts), "tested", scratch)
-        tested = done if tested is None else tested.unionByName(done)
-        if step == 1 or not done.where("linked").isEmpty():
-            groups = components(tested.where("linked"))
+        tried = pairs if step == 1 else tried
+        links = written(verified(pairs, texts).where("linked").select("a", "b"), "links", scratch)
+        if step == 1 or not links.isEmpty():
+            groups = components(links if groups is None else links.unionByName(groups.select(F.col("id").alias("a"), F.col("root").alias("b"))))
         settle(spark)
 
     every = sketches.select("id", "n", "key").join(first, "key", "left")
