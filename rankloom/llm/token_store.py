@@ -9,13 +9,14 @@ The index has for each document: id i64, offset of its frame u64, frame bytes u3
 zstandard frame of the ids as little-endian unsigned 32-bit integers, split in byte planes (all lowest bytes
 first), which is what the dictionary is trained on.
 
-Defined results: a null or empty text holds the end id alone; equal ids keep every row, in order of their text
+Defined results: a null or empty text holds the end id alone; a null id is kept and sorts first; equal ids keep every row, in order of their text
 hash; extra columns are ignored; an empty table gives a store without shards. A shard is written under a name of
 its own attempt and renamed, so repeated or speculative tasks leave whole files.
 """
 
 from __future__ import annotations
 
+import array
 import hashlib
 import itertools
 import os
@@ -25,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -36,27 +38,83 @@ MAGIC = b"RLTOKS01"
 ENTRY = struct.Struct("<qQII")
 TAIL = struct.Struct("<QQ8s")
 END_ID = 2
+#: Stands for a null id in the index: the smallest, as nulls sort first.
+NULL_ID = -(2**63)
 #: The dictionary's size, and the documents and ids of each that it is trained on: a bounded sample, the first by
 #: hash of id. It decides how well frames compress and nothing else.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_IDS = 64 * 1024, 600, 2000
 #: Words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+#: Letters that no normal form changes (ASCII, Latin-1 and Latin Extended-A without the dotted capital I) between ASCII
+#: punctuation but the apostrophe and what may make up a special token.
+_WORD = r"^(?P<a>[!-&(-/:;=?@\[-`{-~]*)(?P<b>[A-Za-zÀ-ÖØ-öø-\x{012f}\x{0131}-\x{017f}]+)(?P<c>[!-&(-/:;=?@\[-`{-~]*)$"
 LEVEL = 3
 
 
 class Encoder:
     """Encodes texts word by word: the tokenizer never joins across ASCII white space, so a word's ids are kept.
 
-    This holds for tokenizers whose pre-tokenizer drops or never spans white space (checked by `word_split`).
+    A word of letters between ASCII punctuation is cut there, as the pre-tokenizer does, and its letters are kept on
+    their own; words with an apostrophe or anything else are encoded as they are. All this holds for tokenizers
+    whose pre-tokenizer parts letters from punctuation and drops white space (tried out when it is loaded; others
+    get whole texts). A worker process keeps what it has encoded from task to task.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_file(path), end_id, {}
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.clear()
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.word_split = ids("a b\n\tc, d") == [*ids("a"), *ids("b"), *ids("c,"), *ids("d")]
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.word_split = all("<" in t or ">" in t for t in specials) and ids("a b\n\tC, (d)...") == [*ids("a"), *ids("b"), *ids("c"), *ids(","), *ids("("), *ids("d"), *ids(")...")]
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {"": 0}  # a word or part of one -> its place in size and first
+        self.size, self.first, self.flat = array.array("q", [0]), array.array("q", [0]), array.array("I")
+
+    def _put(self, name: str, ids) -> None:
+        self.at[name] = len(self.size)
+        self.first.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+
+    def _places(self, names: list[str], letters: bool) -> np.ndarray:
+        """The place of each name; new ones are encoded. letters: many can be read as one text, a pre-token each."""
+        fresh = [x for x in names if x not in self.at]
+        for k in range(0, len(fresh), 1000):
+            part = fresh[k : k + 1000]
+            if letters:
+                got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                ids, owner = np.array(got.ids, np.uint32), np.array(got.word_ids, np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(ids))
+                if len(cuts) == len(part) + 1:
+                    at = len(self.size)
+                    self.at.update(zip(part, range(at, at + len(part))))
+                    self.first.extend((cuts[:-1] + len(self.flat)).tolist())
+                    self.size.extend(np.diff(cuts).tolist())
+                    self.flat.extend(ids.tolist())
+                    continue
+            for name, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                self._put(name, got.ids)
+        return np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+
+    def _parts(self, dictionary: pa.Array) -> np.ndarray:
+        """For each word the places of what stands before its letters, them, and what follows."""
+        cut = pc.extract_regex(dictionary, _WORD)
+        whole = pc.is_null(cut).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(dictionary), 3), np.int64)
+        out[whole, 1] = self._places(dictionary.filter(pa.array(whole)).to_pylist(), False)
+        cut = cut.filter(pa.array(~whole))
+        for k, name in enumerate("abc"):
+            part = pc.struct_field(cut, name)
+            if name == "b":
+                part = pc.if_else(pc.string_is_ascii(part), pc.ascii_lower(part), part)
+            coded = part.dictionary_encode()
+            places = self._places(coded.dictionary.to_pylist(), name == "b")
+            out[~whole, k] = places[coded.indices.to_numpy(zero_copy_only=False)] if len(part) else 0
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """For each text its ids with the end id."""
@@ -64,31 +122,36 @@ class Encoder:
             got = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
             return [np.array([*x.ids, self.end_id], np.uint32) for x in got]
         words = Words(texts)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        names = words.dictionary.to_pylist()
-        fresh = [w for w in names if w not in self.known]
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            for w, x in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = x.ids
-        own = [self.known[w] for w in names]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(sizes.sum()))
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        if len(self.at) > CACHE_WORDS:
+            self.clear()
+        parts = self._parts(words.dictionary).ravel()
+        size, first, flat = np.array(self.size, np.int64), np.array(self.first, np.int64), np.array(self.flat, np.uint32)
+        ids = flat[_runs(first[parts], size[parts])]  # of the batch's distinct words, one after another
+        sizes = size[parts].reshape(-1, 3).sum(1)
+        starts = np.cumsum(sizes) - sizes
         out = []
         for a, b in zip(words.bounds[:-1], words.bounds[1:]):
             w = words.ids[a:b]
-            n = sizes[w]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.full(total + 1, self.end_id, np.uint32)
-            if total:
-                ids[:-1] = flat[np.arange(total) + np.repeat(first[w] - (ends - n), n)]
-            out.append(ids)
+            own = ids[_runs(starts[w], sizes[w])]
+            out.append(np.append(own, np.uint32(self.end_id)))
         return out
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then the next."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def planes(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
@@ -124,7 +187,7 @@ def write_shard(folder: str, name: str, dictionary: bytes, documents) -> tuple[i
         for doc_id, ids in documents:
             frame = pack.compress(planes(ids))
             f.write(frame)
-            index.append(ENTRY.pack(doc_id, at, len(frame), len(ids)))
+            index.append(ENTRY.pack(NULL_ID if doc_id is None else doc_id, at, len(frame), len(ids)))
             at, n_ids = at + len(frame), n_ids + len(ids)
         f.write(b"".join(index) + TAIL.pack(at, len(index), MAGIC))
     fs.move(attempt, f"{root}/{name}")
@@ -182,9 +245,10 @@ class Store:
                     start = first + np.cumsum(n) - n
                     for a in range(0, len(n), 5000):
                         rows = range(a, min(a + 5000, len(n)))
+                        own = shard.index["id"][a : a + 5000]
                         crc = [zlib.crc32(shard.read(r).tobytes()) for r in rows]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(shard.index["id"][a : a + len(crc)]), pa.array(start[a : a + len(crc)]), pa.array(n[a : a + len(crc)]), pa.array(crc, pa.int64())],
+                            [pa.array(own, mask=own == NULL_ID), pa.array(start[a : a + len(crc)]), pa.array(n[a : a + len(crc)]), pa.array(crc, pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
@@ -199,9 +263,9 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).withColumn("text", F.substring("text", 1, 8 * SAMPLE_IDS))
 
     def serialise(batches):
-        encoder = Encoder(tokenizer, end_id)
+        coder = encoder(tokenizer, end_id)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([planes(x[:SAMPLE_IDS]) for x in encoder.encode(as_text(batch.column("text")))], pa.binary())], names=["raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([planes(x[:SAMPLE_IDS]) for x in coder.encode(as_text(batch.column("text")))], pa.binary())], names=["raw"])
 
     dictionary = train_dictionary([bytes(r.raw) for r in sample.mapInArrow(serialise, "raw binary").collect()])
     fs, root = pafs.FileSystem.from_uri(folder)
@@ -216,13 +280,13 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder, name, dic = Encoder(tokenizer, end_id), f"shard-{part:06d}.bin", read_bytes(f"{folder}/dictionary.bin")
+        coder, name, dic = encoder(tokenizer, end_id), f"shard-{part:06d}.bin", read_bytes(f"{folder}/dictionary.bin")
 
         def documents():
             for batch in itertools.chain([first], batches):
-                for at in range(0, batch.num_rows, 1000):
-                    some = batch.slice(at, 1000)
-                    yield from zip(some.column("id").to_pylist(), encoder.encode(as_text(some.column("text"))))
+                for at in range(0, batch.num_rows, 5000):
+                    some = batch.slice(at, 5000)
+                    yield from zip(some.column("id").to_pylist(), coder.encode(as_text(some.column("text"))))
 
         n, n_ids = write_shard(folder, name, dic, documents())
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "shard", "documents", "tokens"])
