@@ -164,3 +164,35 @@ def labels_collide(points: DataFrame, min_gap: float) -> DataFrame:
     gap = F.col("y") - F.lag("y").over(Window.partitionBy("chart").orderBy("y"))
     span = points.groupBy("chart").agg((F.max("y") - F.min("y")).alias("span"))
     return last.withColumn("gap", gap).join(span, "chart").groupBy("chart").agg(F.coalesce(F.bool_or(F.col("gap") < F.col("span") * min_gap), F.lit(False)).alias("collide"))
+
+
+def window_metrics(ranking: DataFrame, covers: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, depth: int = DEPTH) -> DataFrame:
+    """Metrics of ranked windows, each of which may cover several gold chunks: covers (chunk_id, gold_id).
+
+    recall counts the distinct gold that the first k cover; hit is for the last k; mrr is of the first window that
+    covers any.
+    """
+    want = gold.select("query_id", F.col("chunk_id").alias("gold_id")).distinct()
+    found = ranking.join(covers.select("chunk_id", "gold_id"), "chunk_id").join(want, ["query_id", "gold_id"])
+    best = found.groupBy("query_id", "gold_id").agg(F.min("rank").alias("rank"))
+    return retrieval_metrics(best.withColumnRenamed("gold_id", "chunk_id"), gold, ks, depth)
+
+
+def context_recall(context: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, context_recall): the share of a query's gold among the chunks that its answer was given."""
+    want = gold.select("query_id", "chunk_id").distinct()
+    got = want.join(context.select("query_id", "chunk_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left")
+    return got.groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 9).alias("context_recall"))
+
+
+def headline(overall: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, value) of one wide row, without nulls."""
+    return overall.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("m")).select("m.*").where("value is not null")
+
+
+def usage_totals(calls: DataFrame, *by: str) -> DataFrame:
+    """Token counters added up, with the total of input and of everything."""
+    parts = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
+    out = calls.groupBy(*by).agg(*(F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in parts))
+    total_in = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")
+    return out.withColumn("total_input", total_in).withColumn("total", total_in + F.col("output_tokens"))

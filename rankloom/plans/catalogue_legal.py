@@ -9,6 +9,7 @@ from ..operators import answers, boosts, evaluation, provisions, segments
 from ..operators import retrieval as R
 from . import sample as S
 from .catalogue_data import ORACLE, QUERIES, query
+from . import evaluate, ingest
 from .retrieve import Settings, retrieve
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -370,3 +371,73 @@ def metadata_filter(spark, d):
 @query(f"WITH {CHUNKS} SELECT chunk_id, trim(coalesce(title, '') || chr(10) || text, ' ' || chr(10)) AS rendered, 'x' || chr(10) || 'y' AS untouched FROM chunks".replace(", 'x' || chr(10) || 'y' AS untouched", ""))
 def rendered_chunks(spark, d):
     return S.chunks(spark).select("chunk_id", text.rendered(F.col("title"), F.col("text")).alias("rendered"))
+
+
+# -- whole plans --------------------------------------------------------------------------------------------------
+
+ACT_CLAUSES = [(1, "sections 1 and 2 on the date of publication"), (2, "section 2 on the expiry of one year from the date of publication"), (3, "sub-sections (1) to (2) of section 9, eighteen months after the date of publication")]
+
+
+@query(f"WITH {S.cte('r', [('1', None, None, '2025-11-13'), ('2', None, None, '2026-11-13'), ('9', '1', None, '2027-05-13'), ('9', '2', None, '2027-05-13')], S.CALENDAR_DDL)} SELECT * FROM r")
+def commencement_calendar(spark, d):
+    return segments.commencement_calendar(spark.createDataFrame(ACT_CLAUSES, "id int, text string"), "2025-11-13", 44)
+
+
+SUB_RULES = [(1, "Rules 1 and 2 shall come into force on the date of publication"), (2, "Rules 2 to 4 shall come into force one year after the date of publication"), (3, "nothing")]
+
+
+@query(f"WITH {S.cte('r', [('1', '2025-11-13'), ('2', '2026-11-13'), ('3', '2026-11-13'), ('4', '2026-11-13')], 'rule string, in_force_date date')} SELECT * FROM r")
+def rule_calendar(spark, d):
+    return segments.rule_calendar(spark.createDataFrame(SUB_RULES, "id int, text string"), "2025-11-13")
+
+
+@query(f"WITH {S.cte('r', [(1, 'section 6', 'section 6(1) section 6(2) section 6(3) section 6(10)'), (3, 'section 17 section 18 section 19 section 20 section 35', 'section 17(2)(b) section 18 section 19 section 20 section 35'), (4, 'section 9', 'section 9'), (5, 'section 27', 'section 27(1)(a) section 27(1)(c)')], 'id int, refers_to string, full_labels string')} SELECT * FROM r".replace("section 6(1) section 6(2) section 6(3) section 6(10)", "section 6(1) section 6(10) section 6(2) section 6(3)"))
+def reference_labels(spark, d):
+    out = segments.reference_labels(segments.extract_refs(spark.createDataFrame(REF_TEXTS, "id int, text string"), 44))
+    return out.select("id", F.array_join("refers_to", " ").alias("refers_to"), F.array_join("refers_to_provisions", " ").alias("full_labels"))
+
+
+PAGE_LINES, PAGE_TABLES = [("d", 1, 50.0, "b"), ("d", 1, 10.0, "a"), ("d", 2, 5.0, "d")], [("d", 1, 60.0, [["c"]])]
+
+
+@query(f"WITH {S.cte('r', [('d', 1, 50.0, 'b', 1), ('d', 1, 60.0, '<c>', 2), ('d', 2, 5.0, 'd', 3)], 'doc_id string, pdf_page int, y0 double, shown string, ord int')} SELECT * FROM r")
+def reading_order(spark, d):
+    lines = spark.createDataFrame(PAGE_LINES, "doc_id string, pdf_page int, y0 double, text string")
+    tables = spark.createDataFrame(PAGE_TABLES, "doc_id string, pdf_page int, y0 double, rows array<array<string>>")
+    return segments.reading_order(lines, tables, 1, 20.0).select("doc_id", "pdf_page", "y0", F.coalesce("text", F.concat(F.lit("<"), F.array_join(F.flatten("rows"), " "), F.lit(">"))).alias("shown"), "ord")
+
+
+@query()
+def ingest_act(spark, d):
+    lines = spark.createDataFrame(S.LINES, S.LINE_DDL).where("doc_id = 'd1'")
+    chunks = ingest.numbered_chunks(lines, "act", spark.createDataFrame(S.CALENDAR, S.CALENDAR_DDL), "2030-01-01", 40, "THE SCHEDULE")
+    return ingest.with_penalties(chunks, spark.createDataFrame([(1, "Breach of section 2 Penalty: 5 rupees")], "ord int, text string"))
+
+
+CALLS = [("m", 100, 10, 5, 1), ("m", 50, 5, 0, 0), ("n", 1, 1, 1, 1)]
+CALL_DDL = "model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint"
+
+
+@query(f"""WITH {S.cte('c', CALLS, CALL_DDL)} SELECT model, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(cache_write_tokens)::BIGINT AS cache_write_tokens,
+    sum(input_tokens + cache_read_tokens + cache_write_tokens)::BIGINT AS total_input, sum(input_tokens + cache_read_tokens + cache_write_tokens + output_tokens)::BIGINT AS total FROM c GROUP BY model""")
+def usage_totals(spark, d):
+    return evaluation.usage_totals(spark.createDataFrame(CALLS, CALL_DDL), "model")
+
+
+WINDOWS, COVERS, WANTED = [("q", "w1", 1), ("q", "w2", 2), ("q", "w3", 6)], [("w2", "g1"), ("w2", "g2"), ("w3", "g3"), ("w1", "other")], [("q", "g1"), ("q", "g2"), ("q", "g3"), ("q", "g4")]
+
+
+@query(f"""WITH {S.cte('w', WINDOWS, 'query_id string, chunk_id string, rank int')}, {S.cte('c', COVERS, 'chunk_id string, gold_id string')}, {S.cte('g', WANTED, 'query_id string, gold_id string')},
+    m AS (SELECT query_id, gold_id, (SELECT min(rank) FROM w JOIN c USING (chunk_id) WHERE w.query_id = g.query_id AND c.gold_id = g.gold_id) AS rank FROM g)
+    SELECT query_id, count(*) AS n_gold, {', '.join(f"round(count_if(rank <= {k}) / count(*), 9) AS recall_{k}, CASE WHEN count_if(rank <= {k}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_{k}" for k in (1, 3, 5))}, round(coalesce(1.0::DOUBLE / min(rank), 0), 9) AS mrr, min(rank)::INTEGER AS first_gold_rank FROM m GROUP BY query_id""")
+def window_metrics(spark, d):
+    return evaluation.window_metrics(spark.createDataFrame(WINDOWS, "query_id string, chunk_id string, rank int"), spark.createDataFrame(COVERS, "chunk_id string, gold_id string"), spark.createDataFrame(WANTED, "query_id string, chunk_id string"))
+
+
+EVAL_ITEMS = [("q1", "What does Section 8(5) ask of a Data Fiduciary?", "lookup", ["act:s8(5)"], None), ("q6", "What is item 11 of Part B of the First Schedule?", "table", ["rules:sch1:B:11"], None), ("q9", "Tell me about children.", "lookup", [], None)]
+
+
+@query()
+def evaluation_run(spark, d):
+    golden = spark.createDataFrame(EVAL_ITEMS, "id string, question string, category string, gold_chunk_ids array<string>, as_of_date date")
+    return evaluate.run(S.chunks(spark), None, golden, Settings(mode="bm25", k=3, candidates=10, cross_refs=True), AS_OF)
