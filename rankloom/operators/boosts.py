@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import matches_any
 from .provisions import lookup
+from .retrieval import rrf, sent
 
 # Wordings that show what a question asks for, the signals' weights, and how definitions, quotations and
 # other enactments are written.
@@ -127,7 +128,7 @@ def definitions(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     by_quote = quoted.select("query_id", "i", F.lower("q").alias("term")).join(defined, "term").select("query_id", "i", "ord", "chunk_id")
     asking = queries.where(matches_any(F.col("text"), DEFINITION_INTENT)).join(by_quote.select("query_id").distinct(), "query_id", "left_anti")
     terms = defined.groupBy("term").agg(F.min("ord").alias("first"))
-    inside = asking.join(F.broadcast(terms), F.contains(F.lower(F.col("text")), F.col("term")))  # defined terms of a corpus: a glossary
+    inside = asking.join(sent(terms, terms.count()), F.contains(F.lower(F.col("text")), F.col("term")))
     best = inside.groupBy("query_id").agg(F.max_by("term", F.struct(F.length("term"), -F.col("first"))).alias("term"))
     by_term = best.join(defined, "term").select("query_id", F.lit(0).alias("i"), "ord", "chunk_id")
     return _numbered(by_quote.unionByName(by_term), "i", "ord")
@@ -142,7 +143,7 @@ def commencements(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         allowed = F.when((F.size("named") == 1) & (F.col("named")[0] == name), F.array(*map(F.lit, types))).otherwise(allowed)
     q = q.withColumn("named", named).select("query_id", F.when(F.size("named") == 1, allowed).alias("allowed"))
     found = chunks.where(matches_any(F.coalesce("title", F.lit("")), COMMENCEMENT_TITLES)).select("chunk_id", "ord", "doc_type")
-    hits = q.join(F.broadcast(found), F.col("allowed").isNull() | F.array_contains("allowed", F.col("doc_type")))  # titles that match: a handful
+    hits = q.join(sent(found, found.count()), F.col("allowed").isNull() | F.array_contains("allowed", F.col("doc_type")))
     return _numbered(hits, "ord")
 
 
@@ -177,8 +178,6 @@ def fuse(ranking: DataFrame, signals: dict[str, DataFrame], chunks: DataFrame, c
     Signal chunks must meet the condition. Pairwise signals (corrections, links) keep their order, the others follow
     the ranking, with what it lacks behind.
     """
-    from .retrieval import rrf
-
     weights = WEIGHTS if weights is None else weights
     allowed = chunks.where(condition).select("chunk_id") if condition is not None else chunks.select("chunk_id")
     lists = None
