@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answers, evaluation
+from ..sources.scratch import cut
 from .retrieve import Settings, retrieve
 
 #: Exit codes of a run.
@@ -36,7 +37,7 @@ def run(corpus: DataFrame, vectors: DataFrame | None, golden: DataFrame, s: Sett
     gold = golden.select(F.col("id").alias("query_id"), F.explode("gold_chunk_ids").alias("chunk_id"))
     plain = retrieve(corpus, vectors, queries, replace(s, k=max(depth, s.k), cross_refs=False))
     metrics = evaluation.retrieval_metrics(plain, gold, depth=depth)
-    given = retrieve(corpus, vectors, queries, s)
+    given = cut(retrieve(corpus, vectors, queries, s))
     stub = answers.stub_answers(answers.context(given, corpus, today))
     checked = answers.valid_citations(stub.withColumnRenamed("query_id", "answer_id"), given.select(F.col("query_id").alias("answer_id"), "chunk_id"))
     out = golden.select(F.col("id").alias("query_id"), "category", F.coalesce("as_of_date", F.lit(today).cast("date")).alias("as_of"))

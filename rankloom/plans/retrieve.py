@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boosts, provisions, retrieval
 from ..operators.retrieval import Filters
+from ..sources.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,7 @@ def retrieve(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, s
     else:
         out = ranked(corpus, vectors, queries, s)
     if s.weights:
+        out = cut(out)  # signals, fusion and expansion all read the candidates
         make = {
             "citations": lambda: boosts.citations(queries, corpus),
             "definitions": lambda: boosts.definitions(queries, corpus),
@@ -65,11 +67,14 @@ def retrieve(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, s
             "links": lambda: boosts.links(out, corpus),
         }
         out = boosts.fuse(out, {n: make[n]() for n, w in s.weights.items() if w > 0}, corpus, s.filters.condition(), s.weights, s.rrf_k)
+    if s.weights:
+        out = cut(out)
     if s.rerank_top:
         pairs = out.where(F.col("rank") <= s.rerank_top).join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
         out = retrieval.rerank_head(out, pairs.select("query_id", "chunk_id", retrieval.lexical_overlap(F.col("q"), F.col("text")).alias("new_score")), s.rerank_top).drop("old_rank")
     out = out.where(F.col("rank") <= s.k).select("query_id", "chunk_id", "score", "rank")
     if not s.cross_refs:
         return out.withColumn("expanded_from", F.lit(None).cast("string"))
+    out = cut(out)
     refs = corpus.select("chunk_id", F.posexplode(F.when(F.size("refers_to_provisions") > 0, F.col("refers_to_provisions")).otherwise(F.col("refers_to"))).alias("pos", "label"))
     return provisions.expand(out, refs, corpus, s.max_per_chunk, s.score_factor, s.as_of).select("query_id", "chunk_id", "score", "rank", "expanded_from")
