@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import os
 import tempfile
 import uuid
 
@@ -29,7 +28,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = getattr(shared_root, "own", None) or "file://" + tempfile.mkdtemp(prefix="rankloom-")
         shared_root.own = root
-    return root.rstrip("/")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is the cluster's store
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -129,14 +129,6 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out[:n])
 
 
-def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
-
-
-def local_path(path: str) -> str:
-    return os.fspath(path).removeprefix("file://")
-
-
 def settle(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of tables that are no longer used: its cleaner waits for a collection."""
     gc.collect()
