@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Odd 64-bit constants of the word-sequence hash (golden ratio and a Murmur finaliser constant).
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
+#: Rows that a Python function is given at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,13 +74,21 @@ def batched(df: DataFrame, function, schema: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                out = function(batch.slice(at, 2000))
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                out = function(batch.slice(at, BATCH_ROWS))
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker process is used again by later tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def as_text(column: pa.Array) -> pa.Array:
     """The column as strings with nulls as empty strings, in an array of its own: some string kernels misread slices."""
     text = pc.fill_null(column.cast(pa.large_string()), "")

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, batched
+from .common import as_text, batched, trim
 
 BITS = 16
 SMOOTHING = 0.5
 PENALTY = 4.0
 ROUNDS, MAX_SET = 12, 4
 UNKNOWN = "und"
+#: Texts whose trigrams are in memory at once; a batch's arrays take some hundred bytes a character.
+CHUNK = 200
 
 
 @functools.cache
@@ -62,8 +64,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
                 who, what = trigrams(as_text(part.column("text")).to_pylist())
                 langs = np.array(part.column("lang").to_pylist(), object)
                 for lang in set(langs):
@@ -71,6 +73,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
                     sums[lang] = sums.get(lang, 0) + own
         for lang, n in sums.items():
             at = np.flatnonzero(n)
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     made = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -159,7 +162,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, log_prob = sent.value
         texts = as_text(batch.column("__text")).to_pylist()
-        share = np.concatenate([infer(texts[a : a + 500], log_prob) for a in range(0, len(texts), 500)] or [np.zeros((0, len(names)))])
+        share = np.concatenate([infer(texts[a : a + CHUNK], log_prob) for a in range(0, len(texts), CHUNK)] or [np.zeros((0, len(names)))])
         top = share.argmax(1) if names else np.zeros(len(texts), int)
         value = share.max(1) if names else np.zeros(len(texts))
         pred = [names[i] if v > 0 else UNKNOWN for i, v in zip(top, value)]

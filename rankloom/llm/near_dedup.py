@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_text, batched, gram_hashes, mixed, remove, settle, written
+from .common import Words, as_text, batched, gram_hashes, mixed, remove, settle, trim, written
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, CIRCLE = 40, 4, 20
@@ -200,6 +200,7 @@ def _proposals(rows: DataFrame) -> DataFrame:
                 for c in names:
                     held[c].append(cols[c][r])
         yield from done()
+        trim()
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 

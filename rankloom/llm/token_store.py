@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_text, new_folder
+from .common import Words, as_text, new_folder, trim
 
 MAGIC = b"RLTOKS01"
 ENTRY = struct.Struct("<qQII")
@@ -289,6 +289,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
                     yield from zip(some.column("id").to_pylist(), coder.encode(as_text(some.column("text"))))
 
         n, n_ids = write_shard(folder, name, dic, documents())
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "shard", "documents", "tokens"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
