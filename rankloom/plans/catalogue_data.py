@@ -113,12 +113,12 @@ def hash_embedding(spark, d):
 
 
 def hybrid_parts(spark, d, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Both rankings of the documents that have a vector; a question's vector is that of its own id."""
-    v = vectors(spark, d)
-    docs = corpus(spark, d).join(v.select("chunk_id"), "chunk_id", "left_semi")
-    q = questions(spark, d).join(v.select(F.col("chunk_id").alias("query_id"), "vector"), "query_id")
+    """Both rankings: BM25 over every document and question, dense over the documents and questions that have a vector
+    (a question's is that of its own id). What has none is ranked by BM25 alone."""
+    v, docs, q = vectors(spark, d), corpus(spark, d), questions(spark, d)
+    asked = q.join(v.select(F.col("chunk_id").alias("query_id"), "vector"), "query_id")
     own = v.join(docs.select("chunk_id"), "chunk_id", "left_semi")
-    return retrieval.dense(own, q, limit), retrieval.bm25(docs, q, limit)
+    return retrieval.dense(own, asked, limit), retrieval.bm25(docs, q, limit)
 
 
 def hybrid_sql(limit: int, final: int) -> str:
