@@ -2,14 +2,20 @@
 
 Each language is a multinomial over hashed character trigrams (lower-cased letters; every run of other characters
 is one space). For a document, expectation-maximisation estimates in what proportions the languages make up its
-trigrams; the set of languages is chosen by penalised likelihood: a language is added only if it raises the
-log-likelihood by more than PENALTY * ln(trigrams).
+trigrams; the set of languages is chosen by penalised likelihood: starting with the likeliest, the language that has
+the largest share among all is added as long as that raises the log-likelihood by more than PENALTY * ln(trigrams);
+nothing else bounds the set. EM runs until the log-likelihood is within TOLERANCE of its maximum: as it is concave
+in the shares, the largest sum of posterior ratios less the trigrams bounds what is missing.
 
 Counts are taken over all training documents, in fixed arrays of 2 ** BITS buckets a language, so that the model's
-size is languages x 256 KB whatever the corpus. Texts are processed whole.
+size is languages x 256 KB whatever the corpus; a lang column with over MAX_LANGUAGES values raises ValueError, as no
+such model would fit a task. Texts are processed whole.
 
 Defined results: a null text or one without a letter is `und` with score 0 and no languages; without any training
-row every text is `und`; ties go to the language that sorts first; rows with a null language do not train.
+row (an empty table too) every text is `und`; ties go to the language that sorts first; rows with a null language do
+not train; repeated rows train once each and are judged alike, rows that share an id give a row each; a very long
+text is judged by all its trigrams; an empty table gives an empty result; columns that are not asked for are ignored,
+also those named as the results are.
 """
 
 from __future__ import annotations
@@ -26,7 +32,9 @@ from .common import as_text, batched, trim
 BITS = 16
 SMOOTHING = 0.5
 PENALTY = 4.0
-ROUNDS, MAX_SET = 12, 4
+#: EM ends within this many nats of the largest log-likelihood (and the float's own error), or after so many rounds.
+TOLERANCE, ROUNDS = 0.05, 400
+MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 #: Texts whose trigrams are in memory at once; a batch's arrays take some hundred bytes a character.
 CHUNK = 200
@@ -61,6 +69,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
     """The languages in order, and the log-probability of each bucket in each: float32 [2 ** BITS, languages]."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
 
+    n_lang = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if n_lang > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of {lang_col}: not languages, or a model too large for a task")
+
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -88,21 +100,37 @@ def _sum(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, bounds, axis=0)
 
 
-def mixture(count: np.ndarray, prob: np.ndarray, bounds: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def mixture(count: np.ndarray, prob: np.ndarray, bounds: np.ndarray, allowed: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """EM over many documents at once.
 
     count, prob: of each (document, bucket), prob scaled so that its largest is 1; bounds: where each document
-    starts; allowed: the languages of each document's set. Returns proportions and the log-likelihood they give.
+    starts; allowed: the languages of each document's set; wanted: a log-likelihood of each document, which ends
+    its rounds as soon as it is reached or known to be out of reach. Returns proportions and the log-likelihood.
     """
     sizes = np.diff(np.append(bounds, len(count)))
-    total = _sum(count, bounds)[:, None]
-    share = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(rounds):
-        r = prob * np.repeat(share, sizes, axis=0)
-        r *= (count / np.maximum(r.sum(1), 1e-30))[:, None]
-        share = _sum(r, bounds) / total
-    fit_ = (prob * np.repeat(share, sizes, axis=0)).sum(1)
-    return share, _sum(count * np.log(np.maximum(fit_, 1e-30)), bounds)
+    total = _sum(count, bounds).astype(np.float64)
+    shares = allowed / allowed.sum(1, keepdims=True).astype(np.float64)
+    likes = np.full(len(bounds), -np.inf)
+    live = np.arange(len(bounds))  # documents whose rounds go on, and what is theirs
+    c, p, at, n = count, prob, bounds, sizes
+    for _ in range(ROUNDS):
+        share = shares[live]
+        fit_ = np.maximum((p * np.repeat(share, n, axis=0)).sum(1), 1e-30)
+        like = _sum(c * np.log(fit_), at)
+        ratio = _sum((c / fit_)[:, None] * p, at)
+        missing = np.where(allowed[live] > 0, ratio, 0).max(1) - total[live]
+        done = missing <= TOLERANCE + 1e-6 * total[live]
+        if wanted is not None:
+            done |= (like > wanted[live]) | (like + missing <= wanted[live])
+        likes[live] = like
+        shares[live] = share * ratio / total[live][:, None]
+        if done.all():
+            break
+        if 4 * done.sum() >= len(live):
+            own = np.repeat(~done, n)
+            live, c, p, n = live[~done], c[own], p[own], n[~done]
+            at = np.cumsum(n) - n
+    return shares / shares.sum(1, keepdims=True), likes
 
 
 def infer(texts: list[str], log_prob: np.ndarray) -> np.ndarray:
@@ -128,10 +156,15 @@ def infer(texts: list[str], log_prob: np.ndarray) -> np.ndarray:
     chosen[np.arange(len(docs)), best] = 1
     share, like = chosen.astype(np.float64), single.max(1)
     if n_lang > 1:
-        whole, reach = mixture(count, prob, starts, np.ones_like(chosen))
-        more = reach - like > PENALTY * np.log(n + 1)  # no set of languages can gain more than all of them
+        price = PENALTY * np.log(n + 1)
+        whole, reach = mixture(count, prob, starts, np.ones_like(chosen), like + price)
+        more = reach > like + price  # no set of languages can gain more than all of them
+        if more.any():  # these need their shares in full
+            rows = np.concatenate([np.arange(a, a + k) for a, k in zip(starts[more], np.diff(np.append(starts, len(count)))[more])])
+            own = np.diff(np.append(starts, len(count)))[more]
+            whole[more] = mixture(count[rows], prob[rows], np.cumsum(own) - own, np.ones_like(chosen[more]))[0]
         ends = np.append(starts[1:], len(count))
-        for _ in range(min(MAX_SET, n_lang) - 1):
+        for _ in range(n_lang - 1):
             todo = np.flatnonzero(more)
             if not len(todo):
                 break
@@ -141,10 +174,11 @@ def infer(texts: list[str], log_prob: np.ndarray) -> np.ndarray:
             tried = chosen[todo].copy()
             tried[np.arange(len(todo)), add] = 1
             new_share, new_like = mixture(count[rows], prob[rows], bounds, tried)
-            good = new_like - like[todo] > PENALTY * np.log(n[todo] + 1)
+            good = new_like > like[todo] + price[todo]
             hit = todo[good]
             chosen[hit], share[hit], like[hit] = tried[good], new_share[good], new_like[good]
             more[todo[~good]] = False
+            more[hit[chosen[hit].all(1)]] = False
     out[docs] = share
     return out
 
