@@ -17,9 +17,10 @@ there is none. The two kinds of template are weighed apart, tf * ln((1 + N) / (1
 what all texts say counts nothing. In notices, of few words, 1 is added to the logarithm, and version numbers count. A list of wordings of one's own is for lines
 only. No full text of CC BY, CC BY-NC or Unlicense is at hand; these are told by their lines.
 
-Defined results: a null or empty text has no header; a null path is a file in no directory; rows with one path
-are one file if their texts are equal and are scored each otherwise; an empty template list detects nothing;
-extra columns are ignored.
+Defined results: a null or empty text has no header; a null path is a file in no directory; rows with one path are
+one file, whose best text decides for each of them; ties are as above; a very long text is scored whole; an empty table
+gives an empty result, an empty template list detects nothing; extra columns are ignored, also those named as the
+results are, unless keep names them.
 """
 
 from __future__ import annotations
@@ -32,8 +33,12 @@ from importlib.resources import files as resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 THRESHOLD, SCORE_DIGITS = 0.55, 6
 TEXT_THRESHOLD = 0.7
+#: Tasks over which the rows of one line, directory or path are dealt.
+SALTS = 16
 HEADER = r"licen[cs]e|copyright|spdx|all rights reserved|permission is hereby"
 LICENCE_FILE = r"(^|/)(licen[cs]e|copying|notice|unlicense)([-._][^/]*)?$"
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
@@ -129,7 +134,7 @@ def detect_texts(files: DataFrame) -> DataFrame:
     size = F.when(F.col("kind") == "text", F.col("text")).otherwise(F.col("notice"))
     scored = dot.join(norm, "key").select("key", "license", F.round(F.col("dot") / size, SCORE_DIGITS).alias("score")).where(f"score >= {TEXT_THRESHOLD}")
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
-    return units.select("path", "key").join(best, "key").groupBy("path").agg(F.min("b").alias("b"))
+    return salted(units.select("path", "key"), best, "key", ("path",)).where("b is not null").groupBy("path").agg(F.min("b").alias("b"))
 
 
 def detect(files: DataFrame, wordings: DataFrame, whole: bool = False) -> DataFrame:
@@ -152,7 +157,7 @@ def detect(files: DataFrame, wordings: DataFrame, whole: bool = False) -> DataFr
     dot = vector.join(F.broadcast(target), "term").groupBy("line", "license", "wording", "t_norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     scored = dot.join(norm, "line").select("line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), SCORE_DIGITS).alias("score"))
     best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b")).where(f"-b.less >= {THRESHOLD}")
-    own = found.join(best, "line").groupBy("path").agg(F.min("b").alias("b"))
+    own = salted(found, best, "line", ("path",)).where("b is not null").groupBy("path").agg(F.min("b").alias("b"))
     if whole:
         first = detect_texts(files).withColumnRenamed("b", "t").withColumnRenamed("path", "p")
         own = own.join(first, F.col("path").eqNullSafe(F.col("p")), "full").select(F.coalesce("p", "path").alias("path"), F.coalesce("t", "b").alias("b"))
@@ -164,22 +169,32 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def inherit(paths: DataFrame, own: DataFrame) -> DataFrame:
-    """(path, license, score, origin, licensed_by) of every path.
+def salted(many: DataFrame, few: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
+    """many left join few on the key, where one key may hold a third of many: its rows are dealt by a hash of `by` over
+    SALTS tasks, and each row of few (one a key) is sent to all of them."""
+    spread = many.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
+def inherit(paths: DataFrame, own: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, path, license, score, origin, licensed_by) of every path.
 
     origin is own, inherited or none; licensed_by is the path of the file whose header decided. Directories, not files,
     are joined with their ancestors, so a directory of any number of files is one row there.
     """
-    listed = paths.select("path", directory(F.col("path")).alias("dir"))
+    listed = paths.select("path", *keep, directory(F.col("path")).alias("dir"))
     by_file = own.where(F.lower("path").rlike(LICENCE_FILE)).select(directory(F.col("path")).alias("dir"), "path", "license", "score")
     by_dir = by_file.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("path").alias("by"), "license")).alias("b"))
     parts = F.split("dir", "/")
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(parts))
     above = listed.where("path is not null").select("dir").distinct().select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("depth")).select("dir", "depth", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/").alias("up"))
     nearest = above.join(by_dir.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by("b", "depth").alias("b"))
-    joined = listed.join(own.select("path", F.col("license").alias("own"), F.col("score").alias("own_score")), "path", "left").join(nearest, "dir", "left")
+    found = salted(listed, own.select("path", F.col("license").alias("own"), F.col("score").alias("own_score")), "path", ("path", *keep))
+    joined = salted(found, nearest, "dir", ("path", *keep))
     mine = F.col("own").isNotNull()
     return joined.select(
+        *keep,
         "path",
         F.coalesce("own", "b.license").alias("license"),
         F.coalesce(F.col("own_score"), -F.col("b.less")).alias("score"),
@@ -188,8 +203,14 @@ def inherit(paths: DataFrame, own: DataFrame) -> DataFrame:
     )
 
 
-def scan(files: DataFrame, wordings: DataFrame | None = None, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """The licence of every file."""
-    rows = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+def scan(files: DataFrame, wordings: DataFrame | None = None, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The licence of every file; columns named in keep are passed through.
+
+    Files are read once: the paths, and the texts of those that have a header line, are written to the shared folder.
+    Wordings of one's own are joined by shuffle if they are many; the given ones are sent to all executors, 100 KB.
+    """
+    text = F.col(text_col).cast("string")
+    rows = files.select(F.col(path_col).cast("string").alias("path"), *(c for c in keep if c != "path"), F.when(text.rlike(f"(?i){HEADER}"), text).alias("text"))
+    rows = written(rows, "headers")
     listed = templates(files.sparkSession) if wordings is None else wordings
-    return inherit(rows, detect(rows, listed, whole=wordings is None))
+    return inherit(rows, detect(rows, listed, whole=wordings is None), tuple(c for c in keep if c != "path"))

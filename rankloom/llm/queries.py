@@ -56,8 +56,7 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = as_files(table(spark, sf_dir, "documents"))
-    return licenses.scan(files).select(F.regexp_extract("path", r"([0-9]+)(?:\.txt)?$", 1).cast("bigint").alias("doc_id"), "path", "license", "score", "origin", "licensed_by")
+    return licenses.scan(as_files(table(spark, sf_dir, "documents")), keep=("doc_id",))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
