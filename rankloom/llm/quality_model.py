@@ -7,8 +7,11 @@ A feature's value is its share of the document's n-grams, so long texts weigh no
 Training takes at most `max_rows` labelled documents (those first by hash of id; a documented bound) in one task,
 which gets their vectors only. The model is 2 ** BITS float32 weights: a fixed 1 MB, sent to every executor.
 
-Defined results: a null or empty text has the bias and the smallest length as its features; without any labelled
-row every score is 0.5; labels for missing documents are ignored; copies of a row are scored alike.
+Defined results: a null or empty text has the bias and the smallest length as its features; a very long text is
+scored whole; without any labelled row (an empty table too) every score is 0.5; labels for missing documents, null
+labels and null ids are not learnt from; of several labels of one id the least counts; documents that share an id are
+all learnt from, in the order of their vectors; copies of a row are scored alike, a row each; an empty table gives an
+empty result; columns that are not asked for are ignored, also those named as the results are.
 """
 
 from __future__ import annotations
@@ -91,7 +94,7 @@ class Ftrl:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> np.ndarray:
     """The weights learnt from labels (id, label), of which the first max_rows by hash of id are used."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").dropDuplicates(["id"])
+    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most max_rows small rows
 
@@ -106,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
 
     def train(batches):
         seen = [row for b in batches for row in zip(b.column("id").to_pylist(), b.column("y").to_pylist(), b.column("at").to_pylist(), b.column("x").to_pylist())]
-        seen.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
+        seen.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r))
         model = Ftrl()
         for _ in range(min(MOST_EPOCHS, max(LEAST_EPOCHS, TRAIN_STEPS // len(seen))) if seen else 0):
             for _, y, at, x in seen:
