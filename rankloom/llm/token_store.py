@@ -9,8 +9,9 @@ The index has for each document: id i64, offset of its frame u64, frame bytes u3
 zstandard frame of the ids as little-endian unsigned 32-bit integers, split in byte planes (all lowest bytes
 first), which is what the dictionary is trained on.
 
-Defined results: a null or empty text holds the end id alone; a null id is kept and sorts first; equal ids keep every row, in order of their text
-hash; extra columns are ignored; an empty table gives a store without shards. A shard is written under a name of
+Defined results: a null or empty text holds the end id alone; a null id is kept and sorts first; equal ids keep every
+row, in order of their text hash, however they are dealt over shards; a very long text is one frame; extra columns are
+ignored, also those named as the results are; an empty table gives a store without shards. A shard is written under a name of
 its own attempt and renamed, so repeated or speculative tasks leave whole files.
 """
 
@@ -40,9 +41,11 @@ TAIL = struct.Struct("<QQ8s")
 END_ID = 2
 #: Stands for a null id in the index: the smallest, as nulls sort first.
 NULL_ID = -(2**63)
-#: The dictionary's size, and the documents and ids of each that it is trained on: a bounded sample, the first by
-#: hash of id. It decides how well frames compress and nothing else.
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_IDS = 64 * 1024, 600, 2000
+#: The dictionary's size, and what it is trained on: of the first documents by hash of id a piece of so many characters
+#: from a place that the hash picks. The sample decides how well frames compress and nothing else.
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 * 1024, 600, 8000
+#: Bytes of text in a shard, and the most shards (the driver holds a row for each); beyond it shards grow.
+SHARD_BYTES, MAX_SHARDS = 16 << 20, 50_000
 #: Words whose ids a task remembers before it starts anew.
 CACHE_WORDS = 700_000
 #: Letters that no normal form changes (ASCII, Latin-1 and Latin Extended-A without the dotted capital I) between ASCII
@@ -260,12 +263,13 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).withColumn("text", F.substring("text", 1, 8 * SAMPLE_IDS))
+    place = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    sample = rows.select(F.xxhash64("id").alias("h"), "id", F.col("text").substr(place + 1, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("h", "id", "text").limit(SAMPLE_DOCS)
 
     def serialise(batches):
         coder = encoder(tokenizer, end_id)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([planes(x[:SAMPLE_IDS]) for x in coder.encode(as_text(batch.column("text")))], pa.binary())], names=["raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([planes(x) for x in coder.encode(as_text(batch.column("text")))], pa.binary())], names=["raw"])
 
     dictionary = train_dictionary([bytes(r.raw) for r in sample.mapInArrow(serialise, "raw binary").collect()])
     fs, root = pafs.FileSystem.from_uri(folder)
@@ -292,8 +296,10 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
         trim()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "shard", "documents", "tokens"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    shards = rows.repartitionByRange(parts, "id", F.xxhash64("id", "text")).sortWithinPartitions("id", F.xxhash64("text")).mapInArrow(write, "part int, shard string, documents bigint, tokens bigint")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, min(MAX_SHARDS, -(-size // SHARD_BYTES)))
+    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())  # parts equal rows
+    shards = keyed.repartitionByRange(parts, "id", "h", "nth").sortWithinPartitions("id", "h", "nth").select("id", "text").mapInArrow(write, "part int, shard string, documents bigint, tokens bigint")
     made, first, table = sorted(map(tuple, shards.collect())), 0, []  # a row a shard
     for _, name, n, n_ids in made:
         table.append((name, n, n_ids, first))
