@@ -1,8 +1,9 @@
 """Near-duplicate groups by circulant MinHash, banding and exact verification.
 
 A document's set is its distinct SHINGLE-word shingles as 64-bit hashes. Two permutations give the whole signature:
-sigma places a shingle in a circle of 2 ** CIRCLE places, and coordinate k of the signature is the least
-pi(sigma(x) + k) over the set, pi being one fixed permutation that is shifted round the circle for each coordinate.
+sigma places a shingle in a circle of 2 ** CIRCLE places, and coordinate k of the signature is the shingle with the
+least pi(sigma(x) + k), pi being one fixed permutation that is shifted round the circle for each coordinate. Of several
+shingles in one place the least hash counts, so that sets larger than the circle are told apart as well as small ones.
 Signatures of BANDS x ROWS coordinates are banded; two sets of Jaccard similarity 0.75 share no band with
 probability (1 - 0.75 ** ROWS) ** BANDS, under 3e-7.
 
@@ -16,8 +17,10 @@ Every proposal is decided on the full sets. Groups are connected components,
 found by alternating large-star and small-star steps over tables; nothing is gathered on the driver.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; fewer than SHINGLE
-words are one shingle; rows that share an id are one document; a row with a null id has component null and is kept;
-an empty table gives an empty result; extra columns are ignored.
+words are one shingle; a very long text is compared by its whole set; rows that share an id are one document, for whose
+links the text with the least hash counts, while each row states its own n_shingles; a row with a null id has component
+null and is kept; a similarity of exactly the threshold links; an empty table gives an empty result; extra columns are
+ignored, also those named as the results are.
 """
 
 from __future__ import annotations
@@ -40,7 +43,9 @@ MAYBE = 0.60
 MAX_BROADCAST_IDS = 500_000
 #: Rows of a side of a block in round 3. Sets of 32-bit hashes tell a similarity to within NEAR: two of a few thousand
 #: shingles collide once in 1,000 pairs.
-BLOCK, NEAR = 512, 0.005
+BLOCK, BLOCK_SHINGLES, NEAR = 512, 4_000_000, 0.005
+#: Tasks over which the neighbours of one node are dealt.
+SALTS = 8
 
 
 @functools.cache
@@ -64,16 +69,32 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def signature(places: np.ndarray) -> np.ndarray:
-    table = circle()
+@functools.cache
+def place_of() -> np.ndarray:
+    """The inverse of pi."""
+    pi = circle()[: 1 << CIRCLE, 0]
+    out = np.empty(1 << CIRCLE, np.int64)
+    out[pi] = np.arange(1 << CIRCLE)
+    return out
+
+
+def signature(shingle: np.ndarray) -> np.ndarray:
+    """The shingle of each coordinate, from a sorted set."""
+    table, places = circle(), (mixed(shingle) >> np.uint64(64 - CIRCLE)).astype(np.int64)
+    order = np.argsort(places, kind="stable")
+    places = places[order]
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    places, owner = places[first], shingle[order[first]]
     least = table[places[:512]].min(0)
     for at in range(512, len(places), 512):
         np.minimum(least, table[places[at : at + 512]].min(0), out=least)
-    return least
+    where = (place_of()[least] - np.arange(BANDS * ROWS)) & ((1 << CIRCLE) - 1)
+    return owner[np.searchsorted(places, where)]
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(id, n, key, bands, sig) of documents (id, text): set size, hash of the set, band hashes, 16 bits a coordinate."""
+    """(id, h, n, key, bands, sig) of documents (id, text): hash of the text, set size, hash of the set, band hashes, 16 bits a
+    coordinate."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingles(as_text(batch.column("text")))
@@ -83,8 +104,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             if not len(s):
                 keys.append(None), bands.append(None), sigs.append(None)
                 continue
-            sig = signature((mixed(s) >> np.uint64(64 - CIRCLE)).astype(np.int64))
-            rows = sig.astype(np.uint64).reshape(BANDS, ROWS)
+            sig = mixed(signature(s))
+            rows = sig.reshape(BANDS, ROWS)
             h = salt.copy()
             for r in range(ROWS):
                 h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
@@ -92,11 +113,11 @@ def sketch(docs: DataFrame) -> DataFrame:
             bands.append(h.astype(np.int64))
             sigs.append(sig.astype("<u2").tobytes())
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-            names=["id", "n", "key", "bands", "sig"],
+            [batch.column("id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+            names=["id", "h", "n", "key", "bands", "sig"],
         )
 
-    return batched(docs, run, "id bigint, n bigint, key binary, bands array<bigint>, sig binary")
+    return batched(docs.select("id", "text", F.xxhash64("text").alias("h")), run, "id bigint, h bigint, n bigint, key binary, bands array<bigint>, sig binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -124,7 +145,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        spread = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))  # a node may have any number of neighbours
+        large = spread.join(copies, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.select("u", "v")  # every edge points to a smaller id
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
@@ -217,10 +240,11 @@ def cut_sets(texts: DataFrame) -> DataFrame:
 
 def _open_blocks(members: DataFrame, groups: DataFrame | None, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Blocks of the buckets that hold several groups: members outside the largest on the left, all on the right."""
-    rows = _with_group(members.select("bucket", "id"), groups, "id", "grp")
-    by_group = rows.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
-    about = by_group.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("big"), F.count("*").alias("n_groups")).where("n_groups > 1")
-    size = about.select("bucket", F.col("big.grp").alias("big"), F.ceil((F.col("n") - F.col("big.n")) / BLOCK).cast("int").alias("n_i"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n_j"))
+    rows = _with_group(members.select("bucket", "id", "size"), groups, "id", "grp")
+    by_group = rows.groupBy("bucket", "grp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    about = by_group.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "grp", "size")).alias("big"), F.count("*").alias("n_groups")).where("n_groups > 1")
+    cells = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    size = about.select("bucket", F.col("big.grp").alias("big"), cells(F.col("n") - F.col("big.n"), F.col("size") - F.col("big.size")).alias("n_i"), cells(F.col("n"), F.col("size")).alias("n_j"))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     at = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
     zero, outside = F.lit(0), F.col("grp") != F.col("big")
@@ -229,7 +253,7 @@ def _open_blocks(members: DataFrame, groups: DataFrame | None, nodes: DataFrame,
     one = F.when(outside, F.array(at(3, zero, zero))).otherwise(F.array(at(2, zero, zero)))
     to = F.when((F.col("n_i") == 1) & (F.col("n_j") == 1), one).when(outside, F.concat(to_left, to_right)).otherwise(to_right)
     dealt = rows.join(size, "bucket").select("bucket", "id", "grp", F.explode(to).alias("to")).select("bucket", "to.i", "to.j", "id", "grp", "to.side")
-    held = nodes.select("id", "sig").join(cut_sets(texts), "id")
+    held = nodes.join(cut_sets(texts), "id")
     return dealt.join(held, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
@@ -238,18 +262,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch: list[str] = []
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = written(sketch(rows), "sketches")
-    first = written(sketches.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node")), "nodes")
-    nodes = sketches.select("id", "bands", "sig").join(first.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    nodes = written(nodes, "banded", scratch)
-
-    buckets = nodes.select("id", F.explode("bands").alias("bucket"))
+    sketches = written(sketch(rows), "sketches", scratch)
+    by_id = sketches.where("id is not null").groupBy("id").agg(F.min(F.struct("h", "key")).alias("m")).select("id", F.col("m.h").alias("h"), F.col("m.key").alias("key"))
+    by_id = written(by_id, "ids", scratch)
+    first = written(by_id.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "h")).alias("m")).select("key", F.col("m.id").alias("node"), F.col("m.h").alias("h")), "nodes", scratch)
+    nodes = sketches.select("id", "h", "n", "bands", "sig").join(first.select(F.col("node").alias("id"), "h"), ["id", "h"], "left_semi").dropDuplicates(["id"])
+    nodes = written(nodes.select("id", "n", "bands", "sig"), "banded", scratch)
+
+    buckets = nodes.select("id", F.col("n").alias("size"), F.explode("bands").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id")).alias("l")).where("n > 1")
     members = written(buckets.join(leaders.select("bucket", F.col("l.id").alias("leader")), "bucket"), "members", scratch)
     ids = written(members.select("id").distinct(), "candidates", scratch)
     n_ids = ids.count()
     picked = F.broadcast(ids) if n_ids <= MAX_BROADCAST_IDS else ids
-    texts = written(rows.join(picked, "id", "left_semi").dropDuplicates(["id"]), "texts", scratch)
+    texts = rows.join(picked, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = written(texts, "texts", scratch)
     settle(spark)
 
     stars = members.where("id != leader").groupBy("id", "leader").agg(F.count("*").alias("bands"))
@@ -263,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = stars.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
             pairs = _with_group(_with_group(pairs, groups, "a", "ga"), groups, "b", "gb").where("ga != gb").select("a", "b")
         else:
-            pairs = _proposals(_open_blocks(members, groups, nodes, texts))
+            pairs = _proposals(_open_blocks(members, groups, nodes.select("id", "sig"), texts))
         pairs = written(pairs, "pairs", scratch)
         tried = pairs if step == 1 else tried
         links = written(verified(pairs, texts).where("linked").select("a", "b"), "links", scratch)
@@ -271,15 +298,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             groups = components(links if groups is None else links.unionByName(groups.select(F.col("id").alias("a"), F.col("root").alias("b"))))
         settle(spark)
 
-    every = sketches.select("id", "n", "key").join(first, "key", "left")
+    every = by_id.join(first.select("key", "node"), "key", "left").select("id", "node")
     found = _with_group(every, groups, "node", "root") if groups is not None else every.withColumn("root", F.col("node"))
-    out = found.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("root", "id").alias("component_id"),
-        (F.coalesce("root", "id") == F.col("id")).alias("kept"),
-    )
-    out = out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce("kept", F.lit(True)) | F.col(id_col).isNull())
+    out = sketches.select("id", "n").join(found.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("root") == F.col("id"), F.lit(True)).alias("kept"))
+    out = written(out, "groups")
     for p in scratch:
         remove(spark, p)
     return out
