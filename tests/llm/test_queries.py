@@ -75,13 +75,37 @@ def best_segmentation(text, scores, byte_cost):
     return best[-1]
 
 
-def test_op10_round_trips_and_is_the_best_segmentation(spark, sf_dir):
-    got = queries.op10_sentencepiece(spark, sf_dir)
-    assert got.where("not round_trip").count() == 0 and got.count() == len(documents(spark, sf_dir))
+def test_op10_gives_the_librarys_ids(spark, sf_dir):
+    import sentencepiece
+
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in queries.op10_sentencepiece(spark, sf_dir).collect()}
+    docs = documents(spark, sf_dir)
+    assert len(got) == len(docs)
+    for d, ids in zip(docs, sp.encode([d.text or "" for d in docs], num_threads=1)):
+        r = got[d.doc_id]
+        assert (r.n_pieces, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+
+
+def test_op10_gives_the_librarys_ids_of_odd_texts():
+    import random
+
+    import sentencepiece
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    sp, coder, rnd = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.Pieces.load(path), random.Random(1)
+    parts = ["a", "b", "the", "ing", " ", "  ", "   ", "\n", "\t", "é", "日", "①", "ﬁ", "\x00", "<s>", "1", "23", "é", "\u0301", "😀", "qu", "ß", ".", "...", "xyz"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(3000)] + [" " * k + "x" for k in range(60)] + ["a" * k for k in range(80)] + ["the" * k for k in range(40)]
+    assert [x.tolist() for x in coder.encode_batch(texts)] == sp.encode(texts, num_threads=1)
+
+
+def test_op10_by_scores_is_the_best_segmentation(spark, sf_dir):
     import sentencepiece
 
     path = queries.tokenizer_file("piece_bpe_32k.model")
     sp, coder = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.Pieces.load(path)
+    coder.merges = False  # as for a unigram model
     scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     for d in documents(spark, sf_dir)[:40]:
         text = d.text[:300]
