@@ -6,36 +6,48 @@ the least hash (the first of equals). Equal windows have equal anchors, so a win
 the anchor's hash, and the consecutive windows of one anchor are a segment of at most 2 * SPAN words.
 
 1. Anchor hashes that occur once are dropped (counted with a combine before the shuffle).
-2. Equal segments are one row with their first place; every other place repeats it whole.
-3. An anchor hash with several different segments is a reference shard: its segments go one after another through the
-   suffix automaton of those before them, and where the matching statistic reaches SPAN the window is a repeat.
-   A shard of more than MAX_SEGMENTS segments is decided by grouping its windows instead, which gives the same.
+2. Copies of a segment are put together before the shuffle of their words: one row with their first place, which every
+   other place repeats whole.
+3. The different segments of an anchor hash are a reference shard: in order of place each goes through the suffix
+   automaton of those before it, and where the matching statistic reaches SPAN the window is a repeat. A shard holds
+   MAX_SEGMENTS segments at most; what belongs to a larger one is dealt anew, by the hashes of its windows' two, four,
+   eight and at last all least runs, until its parts are shards: so a passage in any number of texts, or a frequent run
+   of words, is split as far as its surroundings differ, and put together where they do not.
 4. Documents are joined with their repeats, and the words under them are left out.
 
+Rows of an anchor with more than its share of all (one in HOT_PARTS, so at most HOT_PARTS anchors, which are sent to all
+executors) are dealt over several tasks wherever they are joined.
+
 Automata travel with their shard and not to every task: with the corpus as its own reference, broadcasting each to
 each document would take time and memory that grow with the square of the corpus. `against_reference` is the form
-with a given reference of bounded size, whose automata are broadcast.
+with a given reference, whose automata are broadcast, as many at a time as a task can hold.
 
 Words are compared by 64-bit hashes. Defined results: a null or empty text has no words; rows with a null id are
-kept whole and repeat nothing; rows that share an id are one document, whose repeats leave each of them at the same
-places; extra columns are ignored; an empty table gives an empty result.
+kept whole and repeat nothing; rows that share an id are one document, for which the text with the least hash stands,
+and what it loses goes at the same places from each of them; of equal windows the one with the smallest id, then start, stays; a very
+long text is searched whole; extra columns are ignored, also those named as the results are; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_text, batched, gram_hashes, mixed, settle, written
+from .common import Words, as_text, batched, gram_hashes, mixed, remove, settle, written
 
 SPAN, GRAM = 20, 8
-MAX_SEGMENTS = 4000
-#: Words of a given reference in all, and in one automaton.
-MAX_REFERENCE_WORDS, SHARD_WORDS = 2_000_000, 250_000
+#: Different segments in a shard, and the least runs that deal a larger one anew, in turn.
+MAX_SEGMENTS, DEALS = 2000, (2, 4, 8, SPAN - GRAM + 1)
+HOT_PARTS, SALTS = 10_000, 16
+#: Words of a given reference in one automaton, and automata that are broadcast at a time.
+SHARD_WORDS, SHARDS_AT_ONCE = 250_000, 8
 
 
 class SuffixAutomaton:
@@ -158,69 +170,113 @@ def _contents(texts: DataFrame) -> DataFrame:
 
 
 def _by_automaton(rows: DataFrame) -> DataFrame:
-    """(anchor, seg, mask): bit j says that window j of the segment's first place occurs earlier, in its shard."""
-    names = ("anchor", "seg", "n", "words")
+    """(anchor, seg, mask) from (shard, anchor, seg, id, start, j, n, words): bit j + i says that window i of the words
+    occurs earlier in its shard."""
+    names = ("shard", "anchor", "seg", "j", "n", "words")
 
     def run(batches):
-        key, automaton, seen = None, None, set()
+        key, automaton = None, None
         for batch in batches:
             out = []
-            for anchor, seg, n, raw in zip(*(batch.column(c).to_pylist() for c in names)):
-                if anchor != key:
-                    key, automaton, seen = anchor, SuffixAutomaton(), set()
-                if seg in seen or len(raw) < 8 * (n + SPAN - 1):  # another row of the same id
-                    continue
-                seen.add(seg)
+            for shard, anchor, seg, j, n, raw in zip(*(batch.column(c).to_pylist() for c in names)):
+                if shard != key:
+                    key, automaton = shard, SuffixAutomaton()
                 words = np.frombuffer(raw, np.uint64).tolist()
                 reach = automaton.statistics(words)
-                out.append((anchor, seg, sum(1 << j for j in range(n) if reach[j + SPAN - 1] >= SPAN)))
+                out.append((anchor, seg, sum(1 << i for i in range(n) if reach[i + SPAN - 1] >= SPAN) << j))
                 automaton.add(words)
             cols = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["anchor", "seg", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "seg", "mask"])
 
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "id", "start")
-    return dealt.select(*names).mapInArrow(run, "anchor bigint, seg bigint, mask bigint")
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "id", "start")
+    return dealt.select(*names).mapInArrow(run, "anchor bigint, seg bigint, mask bigint").where("mask != 0")
 
 
-def _by_window(rows: DataFrame) -> DataFrame:
-    """The same for shards that are too large for one automaton: windows are grouped by their words."""
+def _dealt_anew(rows: DataFrame, runs: int) -> DataFrame:
+    """The segments of large shards, cut where the hashes of their windows' least `runs` runs change: these make the new
+    shard; key stands for the words."""
+    names = ("anchor", "seg", "id", "start", "j", "n", "words")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for anchor, seg, doc, start, n, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "seg", "id", "start", "n", "words"))):
-            out += [(anchor, seg, doc, start, j, hashlib.blake2b(raw[8 * j : 8 * (j + SPAN)], digest_size=16).digest()) for j in range(n)]
-        cols = list(zip(*out)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "seg", "id", "start", "j", "w"])
-
-    each = batched(rows, run, "anchor bigint, seg bigint, id bigint, start int, j int, w binary").withColumn("place", F.struct("id", (F.col("start") + F.col("j")).alias("at")))
-    first = each.groupBy("w").agg(F.min("place").alias("first"))
-    late = each.join(first, "w").where("place > first")
-    return late.groupBy("anchor", "seg").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+        for anchor, seg, doc, start, j, n, raw in zip(*(batch.column(c).to_pylist() for c in names)):
+            grams = gram_hashes(np.frombuffer(raw, np.uint64), GRAM)
+            views = np.lib.stride_tricks.sliding_window_view(grams, SPAN - GRAM + 1)[:n]
+            least = np.sort(views, 1)[:, :runs]
+            with np.errstate(over="ignore"):
+                shard = mixed((mixed(least) * (2 * np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(1))).sum(1, dtype=np.uint64)).view(np.int64)
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), n]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part = raw[8 * a : 8 * (b + SPAN - 1)]
+                out.append((int(shard[a]), xxhash.xxh3_64_intdigest(part) - 2**63, anchor, seg, doc, start + a, j + a, b - a, part))
+        cols = list(zip(*out)) or [[]] * 9
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "key", *names])
+
+    return batched(rows.select(*names), run, "shard bigint, key bigint, anchor bigint, seg bigint, id bigint, start int, j int, n int, words binary")
+
+
+def _salted(many: DataFrame, few: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """An inner join in which one key may hold a third of many: its rows are dealt over SALTS tasks by a hash of `by`."""
+    spread = many.withColumn("__salt", F.pmod(F.xxhash64(by, *keys), F.lit(SALTS)))
+    return spread.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), [*keys, "__salt"]).drop("__salt")
+
+
+def _masks(content: DataFrame, scratch: list[str]) -> DataFrame:
+    """(anchor, seg, mask) of segments (shard, anchor, seg, id, start, j, n, words) whose words differ within a shard."""
+    found, rows = [], content
+    for runs in (*DEALS, None):
+        sizes = rows.groupBy("shard").agg(F.count("*").alias("segs"))
+        small = sizes.where(F.col("segs") <= MAX_SEGMENTS).select("shard")
+        own = rows.join(small, "shard", "left_semi") if runs else rows  # by all runs a shard is one window
+        found.append(written(_by_automaton(own), "masks", scratch))
+        large = sizes.where(F.col("segs") > MAX_SEGMENTS).select("shard")
+        if not runs or large.isEmpty():
+            break
+        parts = written(_dealt_anew(_salted(rows, large, ["shard"], "seg"), runs), "parts", scratch)
+        lead = parts.groupBy("shard", "key").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("copies"))
+        parts = _salted(parts, lead, ["shard", "key"], "seg")
+        first = F.expr("id = first.id and start = first.start")
+        whole = parts.where(~first).select("anchor", "seg", F.expr("shiftleft(shiftleft(1L, n) - 1L, j)").alias("mask"))
+        found.append(whole)
+        several = lead.groupBy("shard").agg(F.count("*").alias("keys")).where("keys > 1").select("shard")
+        rows = written(_salted(parts.where(first).drop("first", "copies", "key"), several, ["shard"], "seg"), "shards", scratch)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("anchor", "seg").agg(F.bit_or("mask").alias("mask"))
 
 
 def repeats(docs: DataFrame, scratch: list[str]) -> DataFrame:
     """(id, start, n, mask): segments of documents (id, text) with windows to remove; mask null: all of them."""
     spark = docs.sparkSession
     docs = docs.where("id is not null")
-    flagged = anchors(docs).groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1").select("anchor")
-    found = written(places(docs).join(flagged, "anchor"), "places", scratch)
-    settle(spark)
-    first = found.groupBy("anchor", "seg").agg(F.min(F.struct("id", "start")).alias("p"), F.max("n").alias("n"))
-    first = written(first.select("anchor", "seg", "n", F.col("p.id").alias("id"), F.col("p.start").alias("start")), "segments", scratch)
-    mixed_ = first.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1")
-    open_ = written(first.join(mixed_, "anchor"), "shards", scratch)
+    shared = written(docs.groupBy("id").count().where("count > 1").select("id"), "shared", scratch)
+    if not shared.isEmpty():
+        one = docs.join(shared, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        docs = docs.join(shared, "id", "left_anti").unionByName(one)
+    flagged = written(anchors(docs).groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1"), "anchors", scratch)
+    share = (flagged.agg(F.sum("times")).first()[0] or 0) // HOT_PARTS + 1000
+    salts = F.ceil(F.col("times") / share).cast("int")
+    hot = F.broadcast(flagged.where(F.col("times") > share).select("anchor", salts.alias("salts")))  # fewer than HOT_PARTS
+    spread = lambda by: F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    known = flagged.join(hot, "anchor", "left").select("anchor", every.alias("salt"))
+    found = places(docs).join(hot, "anchor", "left").withColumn("salt", spread("id")).join(known, ["anchor", "salt"])
+    found = written(found, "places", scratch)
     settle(spark)
+    first = found.groupBy("anchor", "seg").agg(F.min(F.struct("id", "start")).alias("p"), F.max("n").alias("n"), F.max("salts").alias("salts"))
+    first = written(first.select("anchor", "seg", "n", "salts", F.col("p.id").alias("id"), F.col("p.start").alias("start")), "segments", scratch)
+    several = first.groupBy("anchor").agg(F.count("*").alias("segs"), F.max("salts").alias("salts")).where("segs > 1")
+    open_ = first.withColumn("salt", spread("seg")).join(several.select("anchor", every.alias("salt")), ["anchor", "salt"])
     wanted = open_.groupBy("id").agg(F.collect_list(F.struct("anchor", "seg", "start", "n")).alias("of"))
-    content = written(_contents(docs.join(wanted, "id")), "contents", scratch)
+    content = written(_contents(docs.join(wanted, "id")).withColumn("shard", F.col("anchor")).withColumn("j", F.lit(0)), "contents", scratch)
     settle(spark)
-    huge = open_.where(F.col("segs") > MAX_SEGMENTS).select("anchor").distinct()
-    masks = _by_automaton(content.join(huge, "anchor", "left_anti")).unionByName(_by_window(content.join(huge, "anchor", "left_semi")))
-    masks = written(masks.where("mask != 0"), "masks", scratch)
+    masks = written(_masks(content, scratch), "masks", scratch)
     settle(spark)
-    lead = first.join(masks, ["anchor", "seg"], "left").select("anchor", "seg", F.col("id").alias("lead_id"), F.col("start").alias("lead_start"), F.coalesce("mask", F.lit(0).cast("bigint")).alias("lead_mask"))
+    lead = first.join(masks, ["anchor", "seg"], "left").select("anchor", "seg", every.alias("salt"), F.col("id").alias("lead_id"), F.col("start").alias("lead_start"), F.coalesce("mask", F.lit(0).cast("bigint")).alias("lead_mask"))
     own = F.expr("id = lead_id and start = lead_start")
-    out = found.join(lead, ["anchor", "seg"]).select("id", "start", "n", F.when(own, F.col("lead_mask")).alias("mask"))
+    out = found.drop("salts").join(lead, ["anchor", "seg", "salt"]).select("id", "start", "n", F.when(own, F.col("lead_mask")).alias("mask"))
     return out.where("mask is null or mask != 0")
 
 
@@ -266,51 +322,86 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch: list[str] = []
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeats(rows, scratch).groupBy("id").agg(F.collect_list(F.struct("start", "n", "mask")).alias("__spans"))
+    spans = written(repeats(rows, scratch).groupBy("id").agg(F.collect_list(F.struct("start", "n", "mask")).alias("__spans")), "spans")
+    for path in scratch:
+        remove(docs.sparkSession, path)
     columns = [id_col, *keep]
     base = docs.select(*columns, F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("bigint").alias("__id"))
     return _cut(base.join(spans, base["__id"] == spans["id"], "left").select(*columns, "__text", "__spans"), columns, with_text)
 
 
+def _automata(reference: DataFrame) -> DataFrame:
+    """(states, links): the pickled automata of a reference (text), each of about SHARD_WORDS words, built on executors."""
+
+    def run(batches):
+        one, room = None, 0
+        for batch in batches:
+            for text in as_text(batch.column("text")).to_pylist():
+                words = text.encode("utf-8", "surrogatepass").split()
+                if one is not None and room < len(words):
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((one.next, one.link, one.length))], pa.binary())], names=["automaton"])
+                    one = None
+                if one is None:
+                    one, room = SuffixAutomaton(), SHARD_WORDS
+                one.add(words)
+                room -= len(words)
+        if one is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((one.next, one.link, one.length))], pa.binary())], names=["automaton"])
+
+    return reference.mapInArrow(run, "automaton binary")
+
+
 def against_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """(id, n_words, n_removed, kept_text): without the maximal spans of `span` words or more that the reference holds.
 
-    The reference's automata are broadcast, so it may have MAX_REFERENCE_WORDS words at most; more raise ValueError.
+    Documents are streamed past SHARDS_AT_ONCE broadcast automata at a time: a reference of any size takes so many more
+    passes. A text of the reference with more than SHARD_WORDS words makes one automaton of its own.
     """
+    spark, scratch = docs.sparkSession, []
     texts = reference.select(F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
-    size = texts.agg(F.sum(F.size(F.split(F.trim("text"), "\\s+")))).first()[0] or 0
-    if size > MAX_REFERENCE_WORDS:
-        raise ValueError(f"the reference has {size} words, more than {MAX_REFERENCE_WORDS}")
-    shards, room = [], 0
-    for row in texts.toLocalIterator():
-        words = row.text.encode("utf-8", "surrogatepass").split()
-        if room < len(words) or not shards:
-            shards.append(SuffixAutomaton())
-            room = SHARD_WORDS
-        shards[-1].add(words)
-        room -= len(words)
-    sent = docs.sparkSession.sparkContext.broadcast([(s.next, s.link, s.length) for s in shards])
+    shards = written(_automata(texts).withColumn("nth", F.monotonically_increasing_id()), "automata", scratch)
+    order = [r.nth for r in shards.select("nth").orderBy("nth").toLocalIterator()]  # a number for each 250,000 words
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automata = []
-        for parts in sent.value:
-            one = SuffixAutomaton()
-            one.next, one.link, one.length = parts
-            automata.append(one)
-        n, gone, left = [], [], []
-        for text in as_text(batch.column("text")).to_pylist():
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("gone"))
+
+    def passed(rows: DataFrame, sent) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            automata = []
+            for raw in sent.value:
+                one = SuffixAutomaton()
+                one.next, one.link, one.length = pickle.loads(raw)
+                automata.append(one)
+            out = []
+            for text, before in zip(as_text(batch.column("text")).to_pylist(), batch.column("gone").to_pylist()):
+                words = text.encode("utf-8", "surrogatepass").split()
+                edge = np.zeros(len(words) + 1, np.int64)
+                for one in automata:
+                    for e, m in enumerate(one.statistics(words)):
+                        if m >= span:
+                            edge[e + 1 - m] += 1
+                            edge[e + 1] -= 1
+                gone = np.cumsum(edge)[:-1] > 0
+                out.append(np.packbits(gone | np.unpackbits(np.frombuffer(before, np.uint8), count=len(words)).astype(bool) if before else gone).tobytes())
+            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(out, pa.binary())], names=["id", "text", "gone"])
+
+        return batched(rows, run, f"id {kind}, text string, gone binary")
+
+    for at in range(0, len(order), SHARDS_AT_ONCE):
+        some = shards.where(F.col("nth").isin(order[at : at + SHARDS_AT_ONCE])).select("automaton").toArrow()
+        rows = passed(rows, spark.sparkContext.broadcast([x for x in some.column(0).to_pylist()]))
+        if at + SHARDS_AT_ONCE < len(order):
+            rows = written(rows, "passed", scratch)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, left, removed = [], [], []
+        for text, gone in zip(as_text(batch.column("text")).to_pylist(), batch.column("gone").to_pylist()):
             words = text.encode("utf-8", "surrogatepass").split()
-            edge = np.zeros(len(words) + 1, np.int64)
-            for one in automata:
-                for e, m in enumerate(one.statistics(words)):
-                    if m >= span:
-                        edge[e + 1 - m] += 1
-                        edge[e + 1] -= 1
-            out = np.cumsum(edge)[:-1] > 0
-            n.append(len(words)), gone.append(int(out.sum()))
-            left.append(b" ".join(w for w, x in zip(words, out) if not x).decode("utf-8", "surrogatepass") if gone[-1] else text)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return batched(rows, run, f"id {kind}, n_words bigint, n_removed bigint, kept_text string").withColumnRenamed("id", id_col)
+            out = np.unpackbits(np.frombuffer(gone or b"", np.uint8), count=len(words)) if gone else np.zeros(len(words), bool)
+            n.append(len(words)), removed.append(int(out.sum()))
+            left.append(b" ".join(w for w, x in zip(words, out) if not x).decode("utf-8", "surrogatepass") if removed[-1] else text)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
+
+    out = written(batched(rows, cut, f"id {kind}, n_words bigint, n_removed bigint, kept_text string"), "kept")
+    for path in scratch:
+        remove(spark, path)
+    return out.withColumnRenamed("id", id_col)

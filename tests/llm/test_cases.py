@@ -146,9 +146,9 @@ def test_substrings(odd, none):
     assert rows[None].n_removed == 0 and got.count() == len(ROWS) and substring_dedup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [0, 4000])
+@pytest.mark.parametrize("most", [0, 3, 4000])
 def test_substrings_against_brute_force(spark, monkeypatch, most):
-    """Few words, so that runs repeat in and across documents; shards by automaton, then by window."""
+    """Few words, so that runs repeat in and across documents; shards are dealt anew to the end, a few times and never."""
     monkeypatch.setattr(substring_dedup, "MAX_SEGMENTS", most)
     rnd = random.Random(most)
     base = [rnd.choices("ab", k=60) for _ in range(4)]
@@ -164,6 +164,15 @@ def test_substrings_against_brute_force(spark, monkeypatch, most):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_spans(rows)
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words[:60])), (1, " ".join(words[100:150])), (1, "short"), (2, " ".join(words[20:60])), (2, " ".join(words[20:60])), (3, " ".join(words[100:150]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    runs = [sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs.repartition(k)).collect()) for k in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    assert {r[2] for r in runs[0] if r[0] == 1} == {0} and sorted(r[2] for r in runs[0] if r[0] != 1) in ([0, 0, 0], [0, 0, 50], [0, 40, 40], [40, 40, 50])
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text("ab", max_size=12), max_size=4), st.text("abc", max_size=15))
 def test_matching_statistics(reference, text):
@@ -179,9 +188,12 @@ def test_given_reference(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x a b c y"), (2, None)], "doc_id int, text string")
     got = by_id(substring_dedup.against_reference(docs, ref, span=3))
     assert (got[1].n_removed, got[1].kept_text) == (3, "x y") and got[2].n_words == 0
-    monkeypatch.setattr(substring_dedup, "MAX_REFERENCE_WORDS", 2)
-    with pytest.raises(ValueError):
-        substring_dedup.against_reference(docs, ref)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 2)
+    monkeypatch.setattr(substring_dedup, "SHARDS_AT_ONCE", 1)
+    more = ref.unionByName(spark.createDataFrame([("p q r",), ("c y z",), ("",)], "text string"))
+    long = docs.unionByName(spark.createDataFrame([(3, "a b c y z p q r p")], "doc_id int, text string"))
+    got = by_id(substring_dedup.against_reference(long, more, span=3))
+    assert (got[1].kept_text, got[3].kept_text, got[3].n_removed, got[2].kept_text) == ("x y", "p", 8, "")
 
 
 def brute_groups(rows):
