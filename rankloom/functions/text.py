@@ -96,3 +96,23 @@ def hash_dimension(token: Column, dim: int) -> Column:
     m = F.md5(token)
     swapped = functools.reduce(operator.add, [[F.substring(m, i, 2)] for i in (7, 5, 3, 1)])
     return (F.conv(F.concat(*swapped), 16, 10).cast("bigint") % dim).cast("int")
+
+
+#: Signs that set matches apart while a text is cut up; private-use characters, taken out of texts first.
+_FROM, _TO = "\ue000", "\ue001"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Every match of a pattern: array of (start, end, match, gap), gap being the text up to the next match."""
+    plain = F.translate(F.coalesce(text, F.lit("")), _FROM + _TO, "")
+    parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_FROM}$1{_TO}"), _FROM)
+    kind = "struct<at:int,out:array<struct<start:int,end:int,match:string,gap:string>>>"
+    begin = F.struct(F.char_length(parts[0]).alias("at"), F.array().alias("out")).cast(kind)
+
+    def step(acc: Column, part: Column) -> Column:
+        match, gap = F.substring_index(part, _TO, 1), F.substring_index(part, _TO, -1)
+        end = acc["at"] + F.char_length(match)
+        found = F.struct(acc["at"].alias("start"), end.alias("end"), match.alias("match"), gap.alias("gap"))
+        return F.struct((end + F.char_length(gap)).alias("at"), F.concat(acc["out"], F.array(found)).alias("out")).cast(kind)
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), begin, step)["out"]

@@ -5,13 +5,10 @@ Queries (query_id, text). Each signal gives (query_id, pos, chunk_id) in its own
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import matches_any
+from ..functions.text import matches, matches_any
 from .provisions import lookup
 from .retrieval import rrf, sent
 
@@ -35,26 +32,6 @@ def is_external(after: Column) -> Column:
     return after.rlike(OTHER_ACT) & ~after.rlike(THIS_ACT)
 
 
-def _spoken(kind: str, groups: tuple, text: str, end: int) -> list[tuple[str, str, str, str]]:
-    """The keys (kind, a, b, c) that one match cites; a section of another act cites nothing."""
-    low = lambda s: re.findall(r"\(([a-z0-9]+)\)", s or "")
-    tail = text[end : end + 250]
-    if kind in ("verbose", "section") and re.match(OTHER_ACT, tail) and not re.match(THIS_ACT, tail):
-        return []
-    if kind == "verbose":
-        return [("label", ";".join(f"section {groups[1]}({s})" for s in low(groups[0])), "", "")]
-    if kind == "section":
-        return [("label", f"section {groups[0]}" + groups[1].replace(" ", ""), "", "")]
-    if kind == "item":
-        return [("schedule", groups[2].title() + " Schedule", groups[1] or "", groups[0])]
-    if kind == "part":
-        return [("schedule", groups[1].title() + " Schedule", groups[0].upper(), "")]
-    if kind == "schedule":
-        return [("schedule", groups[0].title() + " Schedule", "", "")]
-    parts = low(groups[1])
-    return [("rule", groups[0], parts[0] if parts else "", "")]
-
-
 # Ways to cite, most specific first.
 CITATION_FORMS = (
     ("verbose", r"\bsub-?\s?sections?\s+((?:\([a-z0-9]+\)(?:\s*(?:,|and|or)\s*)?)+)\s*of\s+section\s+(\d+[A-Z]?)"),
@@ -66,26 +43,35 @@ CITATION_FORMS = (
 )
 
 
+def _keys(kind: str, m: Column, tail: Column) -> Column:
+    """The key (kind, a, b, c) that a match of a form cites; null where it is a section of another act."""
+    group = lambda i: F.regexp_extract(m, "(?i)" + dict(CITATION_FORMS)[kind], i)
+    in_brackets = lambda i: F.regexp_extract_all(group(i), F.lit(r"\(([a-z0-9]+)\)"), F.lit(1))
+    schedule = lambda i: F.concat(F.initcap(group(i)), F.lit(" Schedule"))
+    key = lambda name, a, b="", c="": F.struct(*(x.alias(n) for x, n in zip((F.lit(name), a, *(F.lit(v) if isinstance(v, str) else v for v in (b, c))), ("kind", "a", "b", "c"))))
+    labels = F.array_join(F.transform(in_brackets(1), lambda s: F.concat(F.lit("section "), group(2), F.lit("("), s, F.lit(")"))), ";")
+    out = {
+        "verbose": lambda: key("label", labels),
+        "section": lambda: key("label", F.concat(F.lit("section "), group(1), F.replace(group(2), F.lit(" ")))),
+        "item": lambda: key("schedule", schedule(3), group(2), group(1)),
+        "part": lambda: key("schedule", schedule(2), F.upper(group(1))),
+        "schedule": lambda: key("schedule", schedule(1)),
+        "rule": lambda: key("rule", group(1), F.coalesce(F.try_element_at(in_brackets(2), F.lit(1)), F.lit(""))),
+    }[kind]()
+    return F.when(~is_external(tail), out) if kind in ("verbose", "section") else out
+
+
 def cited(queries: DataFrame) -> DataFrame:
     """(query_id, n, kind, a, b, c): what each question cites. Later forms skip text that an earlier one took."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for q, text in zip(pdf.query_id, pdf.text.fillna("")):
-                taken, n = [], 0
-                for kind, pattern in CITATION_FORMS:
-                    for m in re.finditer(pattern, text, re.I):
-                        if any(m.start() < e and s < m.end() for s, e in taken):
-                            continue
-                        taken.append(m.span())
-                        for key in _spoken(kind, m.groups(), text, m.end()):
-                            out.append((q, n, *key))
-                            n += 1
-            yield pd.DataFrame(out, columns=["query_id", "n", "kind", "a", "b", "c"])
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", "text").mapInPandas(run, f"query_id {kind}, n int, kind string, a string, b string, c string")
+    rows, taken = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")), None
+    for i, (kind, pattern) in enumerate(CITATION_FORMS):
+        found = F.transform(matches(F.col("text"), f"(?iU){pattern}"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match")))
+        free = found if i == 0 else F.filter(found, lambda m: ~F.exists(F.col("taken"), lambda t: (m["start"] < t["end"]) & (t["start"] < m["end"])))
+        rows = rows.withColumn(f"f{i}", free)
+        rows = rows.withColumn("taken", F.col("f0") if i == 0 else F.concat("taken", f"f{i}"))
+    keyed = [F.transform(f"f{i}", lambda m: _keys(kind, m["match"], F.substring(F.col("text"), m["end"] + 1, F.lit(250)))) for i, (kind, _) in enumerate(CITATION_FORMS)]
+    keys = F.filter(F.concat(*keyed), lambda k: k.isNotNull())
+    return rows.select("query_id", F.posexplode(keys).alias("n", "key")).select("query_id", "n", "key.*")
 
 
 def citation_targets(chunks: DataFrame) -> DataFrame:

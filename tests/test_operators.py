@@ -82,8 +82,10 @@ def test_months_and_clauses(spark):
         ("clauses (a) to (c) of sub-section (1) of section 27", ["27(1)(a)", "27(1)(c)"]),
     ],
 )
-def test_references(said, want):
-    got = [s + (f"({ss})" if ss else "") + (f"({c})" if c else "") for s, ss, c in segments.references(said)]
+def test_references(spark, said, want):
+    rows = segments.extract_refs(spark.createDataFrame([(1, said)], "id int, text string")).orderBy("pos").collect()
+    got = [r.section + (f"({r.sub_section})" if r.sub_section else "") + (f"({r.clause})" if r.clause else "") for r in rows]
+    assert [r.pos for r in rows] == list(range(len(rows)))
     assert got == want
 
 
