@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,29 +116,22 @@ def mention_support(answers: DataFrame, supplied: DataFrame) -> DataFrame:
     rows = supplied.select("answer_id", F.struct("rank", "chunk_id", kind.alias("kind"), number.alias("number"), sub.alias("sub"), said.alias("said"), refs.alias("refs")).alias("c"))
     grouped = named.join(rows.groupBy("answer_id").agg(F.array_sort(F.collect_list("c")).alias("chunks")), "answer_id", "left")
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for a in pdf.itertuples():
-                chunks = list(a.chunks) if a.chunks is not None else []
-                cites, unknown = list(a.citations), []
-                for m in a.mentions:
-                    is_it = [c for c in chunks if (c["kind"], c["number"]) == (m["kind"], m["number"]) and (m["sub"] is None or c["sub"] is None or c["sub"] == m["sub"])]
-                    label = f"{m['kind']} {m['number']}".lower() + (f"({m['sub']})" if m["sub"] else "")
-                    key = f"{m['kind']}|{m['number']}|{m['sub'] or ''}"
-                    ids = {c["chunk_id"] for c in is_it}
-                    backed = any(c["chunk_id"] in cites and (c["chunk_id"] in ids or label in c["refs"] or key in c["said"]) for c in chunks)
-                    if backed:
-                        continue
-                    more = [c["chunk_id"] for c in is_it if c["chunk_id"] not in cites] if m["sub"] else []
-                    cites += more
-                    if not more:
-                        unknown.append(label.capitalize())
-                out.append((a.answer_id, cites, unknown))
-            yield pd.DataFrame(out, columns=["answer_id", "citations", "unverified"])
-
-    id_kind = answers.schema["answer_id"].dataType.simpleString()
-    return grouped.mapInPandas(run, f"answer_id {id_kind}, citations array<string>, unverified array<string>")
+    none = F.array().cast("array<string>")
+    chunks = F.coalesce("chunks", F.array().cast(grouped.schema["chunks"].dataType))
+    kept = "struct<citations:array<string>,unverified:array<string>>"
+
+    def step(acc: Column, m: Column) -> Column:
+        cites, sub = acc["citations"], F.coalesce(m["sub"], F.lit(""))
+        label = F.concat(m["kind"], F.lit(" "), F.lower(m["number"]), F.when(sub == "", "").otherwise(F.concat(F.lit("("), sub, F.lit(")"))))
+        key = F.concat_ws("|", m["kind"], m["number"], sub)
+        is_it = lambda c: F.coalesce((c["kind"] == m["kind"]) & (c["number"] == m["number"]) & ((sub == "") | c["sub"].isNull() | (c["sub"] == sub)), F.lit(False))
+        backed = F.exists(chunks, lambda c: F.array_contains(cites, c["chunk_id"]) & (is_it(c) | F.array_contains(c["refs"], label) | F.array_contains(c["said"], key)))
+        more = F.when(sub == "", none).otherwise(F.transform(F.filter(chunks, lambda c: is_it(c) & ~F.array_contains(cites, c["chunk_id"])), lambda c: c["chunk_id"]))
+        unknown = F.when(backed | (F.size(more) > 0), none).otherwise(F.array(F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 1000))))
+        return F.struct(F.when(backed, cites).otherwise(F.concat(cites, more)).alias("citations"), F.concat(acc["unverified"], unknown).alias("unverified")).cast(kept)
+
+    folded = F.aggregate("mentions", F.struct(F.coalesce("citations", none).alias("citations"), none.alias("unverified")).cast(kept), step)
+    return grouped.select("answer_id", folded.alias("f")).select("answer_id", "f.*")
 
 
 def stub_answers(contexts: DataFrame) -> DataFrame:

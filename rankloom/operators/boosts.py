@@ -63,15 +63,14 @@ def _keys(kind: str, m: Column, tail: Column) -> Column:
 
 def cited(queries: DataFrame) -> DataFrame:
     """(query_id, n, kind, a, b, c): what each question cites. Later forms skip text that an earlier one took."""
-    rows, taken = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")), None
-    for i, (kind, pattern) in enumerate(CITATION_FORMS):
-        found = F.transform(matches(F.col("text"), f"(?iU){pattern}"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match")))
-        free = found if i == 0 else F.filter(found, lambda m: ~F.exists(F.col("taken"), lambda t: (m["start"] < t["end"]) & (t["start"] < m["end"])))
-        rows = rows.withColumn(f"f{i}", free)
-        rows = rows.withColumn("taken", F.col("f0") if i == 0 else F.concat("taken", f"f{i}"))
-    keyed = [F.transform(f"f{i}", lambda m: _keys(kind, m["match"], F.substring(F.col("text"), m["end"] + 1, F.lit(250)))) for i, (kind, _) in enumerate(CITATION_FORMS)]
-    keys = F.filter(F.concat(*keyed), lambda k: k.isNotNull())
-    return rows.select("query_id", F.posexplode(keys).alias("n", "key")).select("query_id", "n", "key.*")
+    found = [F.transform(matches(F.col("text"), f"(?iU){pattern}"), lambda m: F.struct(F.lit(i).alias("form"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"))) for i, (_, pattern) in enumerate(CITATION_FORMS)]
+    rows = queries.select("query_id", "text", F.concat(*found).alias("found"))
+    free = lambda acc, m: ~F.exists(acc, lambda t: (m["start"] < t["end"]) & (t["start"] < m["end"]))
+    taken = F.aggregate("found", F.array().cast(rows.schema["found"].dataType), lambda acc, m: F.when(free(acc, m), F.concat(acc, F.array(m))).otherwise(acc))
+    each = rows.select("query_id", "text", F.posexplode(taken).alias("n", "m"))
+    tail = F.col("text").substr(F.col("m.end") + 1, F.lit(250))
+    key = F.coalesce(*(F.when(F.col("m.form") == i, _keys(kind, F.col("m.match"), tail)) for i, (kind, _) in enumerate(CITATION_FORMS)))
+    return each.select("query_id", "n", key.alias("key")).where("key is not null").select("query_id", "n", "key.*")
 
 
 def citation_targets(chunks: DataFrame) -> DataFrame:

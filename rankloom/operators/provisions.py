@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,31 +71,30 @@ def expand(results: DataFrame, refs: DataFrame, chunks: DataFrame, max_per_chunk
 
     refs (chunk_id, pos, label). Parents in order of rank take their cited chunks in order, most specific label first,
     at most max_per_chunk each, none that is there already or not in force. A chunk that one parent had no room for
-    is left to the next, so each query's few candidates are folded in order.
+    is left to the next, so each query's few candidates are folded in order, as an array.
     """
     depth = F.size(F.regexp_extract_all("label", F.lit(r"\("), F.lit(0)))
     cited = results.join(refs, "chunk_id").select("query_id", F.col("chunk_id").alias("parent"), F.col("rank").alias("p_rank"), F.col("score").alias("p_score"), "pos", depth.alias("depth"), "label")
     found = cited.join(lookup(refs.select("label").distinct(), chunks), "label")
     if as_of:
         found = found.join(chunks.where(F.col("in_force_date") <= F.lit(as_of).cast("date")).select("chunk_id"), "chunk_id", "left_semi")
-    own = results.select("query_id", F.col("chunk_id").alias("parent"), F.col("rank").alias("p_rank"), F.col("score").alias("p_score"), F.lit(-1).alias("pos"), F.lit(0).alias("depth"), "chunk_id", F.lit(0).cast("bigint").alias("ord"))
-    rows = own.unionByName(found.select(own.columns))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf[pdf.pos < 0].sort_values("p_rank")
-        seen, out, rank = set(base.chunk_id), [], len(base)
-        query = pdf.query_id.iloc[0]
-        for r in base.itertuples():
-            out.append((query, r.chunk_id, r.p_rank, r.p_score, None))
-        extra = pdf[pdf.pos >= 0].sort_values(["p_rank", "depth", "pos", "ord"], ascending=[True, False, True, True], kind="stable")
-        for parent, rows_ in extra.groupby("parent", sort=False):
-            room = max_per_chunk
-            for r in rows_.itertuples():
-                if room and r.chunk_id not in seen:
-                    seen.add(r.chunk_id)
-                    room, rank = room - 1, rank + 1
-                    out.append((query, r.chunk_id, rank, r.p_score * factor, parent))
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "rank", "score", "expanded_from"])
-
-    kind = results.schema["query_id"].dataType.simpleString()
-    return rows.groupBy("query_id").applyInPandas(fold, f"query_id {kind}, chunk_id string, rank int, score double, expanded_from string")
+    order = F.struct("p_rank", (-F.col("depth")).alias("broad"), "pos", "ord", "chunk_id", "parent", "p_score")
+    found = found.groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("found"))
+    base = results.groupBy("query_id").agg(F.collect_set("chunk_id").alias("seen"), F.count("*").cast("int").alias("n"))
+    kind = "struct<parent:int,room:int,seen:array<string>,out:array<struct<chunk_id:string,rank:int,score:double,expanded_from:string>>>"
+
+    def step(acc: Column, r: Column) -> Column:
+        room = F.when(acc["parent"] == r["p_rank"], acc["room"]).otherwise(max_per_chunk)
+        take = (room > 0) & ~F.array_contains(acc["seen"], r["chunk_id"])
+        hit = F.struct(r["chunk_id"].alias("chunk_id"), (F.col("n") + F.size(acc["out"]) + 1).alias("rank"), (r["p_score"] * factor).alias("score"), r["parent"].alias("expanded_from"))
+        return F.struct(
+            r["p_rank"].alias("parent"),
+            (room - take.cast("int")).alias("room"),
+            F.when(take, F.concat(acc["seen"], F.array(r["chunk_id"]))).otherwise(acc["seen"]).alias("seen"),
+            F.when(take, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
+        ).cast(kind)
+
+    begin = F.struct(F.lit(-1).alias("parent"), F.lit(0).alias("room"), F.col("seen"), F.array().alias("out")).cast(kind)
+    more = base.join(found, "query_id").select("query_id", F.explode(F.aggregate("found", begin, step)["out"]).alias("h")).select("query_id", "h.*")
+    own = results.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"), F.lit(None).cast("string").alias("expanded_from"))
+    return own.unionByName(more)
