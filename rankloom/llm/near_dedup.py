@@ -147,7 +147,7 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         spread = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
         copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))  # a node may have any number of neighbours
-        large = spread.join(copies, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = spread.join(copies.hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.select("u", "v")  # every edge points to a smaller id
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     every = by_id.join(first.select("key", "node"), "key", "left").select("id", "node")
     found = _with_group(every, groups, "node", "root") if groups is not None else every.withColumn("root", F.col("node"))
-    out = sketches.select("id", "n").join(found.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    out = sketches.select("id", "n").join(found.select("id", "root").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("root") == F.col("id"), F.lit(True)).alias("kept"))
     out = written(out, "groups")
     for p in scratch:
