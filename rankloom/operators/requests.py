@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def where(config_hash: str | None = None, source: str | None = None, since: str | None = None, include_cached: bool = True) -> Column:
+def where(config_hash: str | list[str] | None = None, source: str | None = None, since: str | None = None, include_cached: bool = True) -> Column:
     out = F.lit(True)
     if config_hash:
-        out = out & (F.col("config_hash") == config_hash)
+        out = out & F.col("config_hash").isin([config_hash] if isinstance(config_hash, str) else list(config_hash))
     if source and source != "all":
         out = out & (F.col("source") == source)
     if since:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures, text
+from ..sources.scratch import cut
 
 SCORE_DIGITS = 6
 MAX_BROADCAST_TERMS = 200_000
@@ -76,23 +77,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def corpus_terms(corpus: DataFrame) -> DataFrame:
+    """(term, df, n_words) in one reading of the corpus: each term's documents; in the row of the null term the number of
+    documents and of their words."""
+    words = corpus.select(text.tokens(F.col("text")).alias("w"))
+    each = words.select(F.explode(F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string")))).alias("term"), F.size("w").alias("n"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("n_words"))
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, limit: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, filters: Filters | None = None) -> DataFrame:
     """Okapi BM25, top `limit` a query, of positive scores.
 
     Statistics are those of the whole corpus, filters apply after scoring. A negative inverse document frequency
-    becomes `floor` times the mean over all terms. Only the occurrences of query terms are shuffled.
+    becomes `floor` times the mean over all terms. The corpus is read once for the statistics and once for the scores;
+    for these its texts are dealt by chunk once, and all further sums are taken where a chunk lies.
     """
-    words = corpus.select("chunk_id", "ord", *(c for c in ("doc_type", "rule", "section", "in_force_date") if c in corpus.columns), text.tokens(F.col("text")).alias("words"))
-    stats = corpus_stats(corpus)
-    df = document_frequency(corpus).crossJoin(F.broadcast(stats))  # one row of statistics
+    terms = cut(corpus_terms(corpus))
+    stats = terms.where("term is null").select(F.col("df").alias("n_docs"), (F.col("n_words") / F.col("df")).alias("avg_len"))
+    df = terms.where("term is not null").crossJoin(F.broadcast(stats))  # one row of statistics
     raw = df.select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     asked = query_terms(queries)
     n_asked = asked.count()
     idf = raw.join(sent(asked.select("term").distinct(), n_asked), "term", "left_semi").crossJoin(F.broadcast(mean))
-    idf = idf.select("term", F.when(F.col("raw") < 0, F.lit(floor) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    kept = words.where(filters.condition()) if filters else words
-    hits = kept.select("chunk_id", "ord", F.size("words").alias("len"), F.explode("words").alias("term"))
+    idf = cut(idf.select("term", F.when(F.col("raw") < 0, F.lit(floor) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")))
+    kept = corpus.where(filters.condition()) if filters else corpus
+    words = kept.select("chunk_id", "ord", "text").repartition("chunk_id").select("chunk_id", "ord", text.tokens(F.col("text")).alias("words"))
+    hits = words.select("chunk_id", "ord", F.size("words").alias("len"), F.explode("words").alias("term"))
     hits = hits.join(sent(idf, n_asked), "term").groupBy("chunk_id", "ord", "len", "term", "idf").agg(F.count("*").alias("tf"))
     share = F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avg_len")
     part = F.col("times") * F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * share)
@@ -100,19 +111,27 @@ def bm25(corpus: DataFrame, queries: DataFrame, limit: int, k1: float = 1.5, b:
     return top(scored.where("score > 0"), limit)
 
 
+#: Bytes of query vectors that are broadcast at a time.
+BLOCK_BYTES = 64 << 20
+
+
 def dense(vectors: DataFrame, queries: DataFrame, limit: int, filters: Column | None = None) -> DataFrame:
     """Cosine top `limit`: vectors (chunk_id, ord, vector), queries (query_id, vector).
 
-    A stated query set against all rows: queries are broadcast and scored where the vectors lie; no vector moves.
+    A stated query set against all rows: queries are broadcast, in blocks of about BLOCK_BYTES, and scored where the
+    vectors lie; no vector moves.
     """
-    n = queries.count()
-    if n > MAX_BROADCAST_TERMS:
-        raise ValueError(f"{n} queries at once; split them into blocks of at most {MAX_BROADCAST_TERMS}")
+    n_bytes = queries.agg(F.sum(F.size("vector") * 8 + 100)).first()[0] or 0
+    n_blocks = 1 + n_bytes // BLOCK_BYTES
     unit = lambda df, name: df.withColumn(name, F.transform("vector", lambda x: x.cast("double") / measures.norm(F.col("vector")))).drop("vector")
     rows = unit(vectors if filters is None else vectors.where(filters), "v")
-    asked = unit(queries.select("query_id", "vector"), "q")
-    scored = rows.crossJoin(F.broadcast(asked)).select("query_id", "chunk_id", "ord", F.round(measures.dot(F.col("v"), F.col("q")), SCORE_DIGITS).alias("score"))
-    return top(scored, limit)
+    asked, out = unit(queries.select("query_id", "vector"), "q"), None
+    for k in range(n_blocks):
+        some = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == k)
+        scored = rows.crossJoin(F.broadcast(some)).select("query_id", "chunk_id", "ord", F.round(measures.dot(F.col("v"), F.col("q")), SCORE_DIGITS).alias("score"))
+        best = top(scored, limit)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def hash_vectors(rows: DataFrame, dim: int = 256) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import answers, boosts, evaluation, provisions, segments
+from ..operators import answers, boosts, evaluation, models, pages, provisions, segments
 from .catalogue_data import query
 
 #: An order o has rows i = 1, 2, ... with a part p, a supplier s, a day d and a number y.
@@ -229,3 +229,53 @@ def baseline_snapshot(spark, d):
 def label_gaps(spark, d):
     points = made(spark, d, "o AS chart, i AS series, 1 AS x, CAST(p % 100 AS DOUBLE) AS y").unionByName(made(spark, d, "o AS chart, i AS series, 2 AS x, CAST(s % 100 AS DOUBLE) AS y"))
     return evaluation.labels_collide(points, 0.1)
+
+
+# -- models' words, printed pages --------------------------------------------------------------------------------------
+
+SAID = "CASE WHEN s % 7 = 0 THEN 'no answer' ELSE '{\"answer\": \"A' || p || '\", \"refused\": ' || CASE WHEN s % 4 = 0 THEN 'true' ELSE 'false' END || ', \"citations\": [\"c' || (p % 3) || '\", \"c0\", \"c9\"]}' END"
+STATE = "CASE WHEN o % 5 = 0 OR i = 3 THEN 'refused' WHEN i = 2 THEN 'truncated' WHEN s % 7 = 0 THEN 'invalid' WHEN s % 4 = 0 THEN 'refused' ELSE 'answered' END"
+
+
+@query(f"""WITH {SOURCE}, a AS (SELECT *, {STATE} AS state FROM r) SELECT o * 10 + i AS answer_id, state, CASE WHEN state = 'answered' THEN 'A' || p END AS answer, CASE WHEN state <> 'answered' THEN '' WHEN p % 3 = 1 THEN 'c1 c0' ELSE 'c0' END AS citations,
+    state = 'refused' AS refused, CASE WHEN state <> 'refused' THEN NULL WHEN o % 5 = 0 THEN 'insufficient_context' ELSE 'model_refusal' END AS refusal_reason FROM a""")
+def answer_states(spark, d):
+    calls = made(spark, d, f"o * 10 + i AS answer_id, {SAID} AS text, CASE i WHEN 2 THEN 'max_tokens' WHEN 3 THEN 'refusal' ELSE 'end_turn' END AS stop_reason")
+    supplied = made(spark, d, "o * 10 + i AS answer_id, 'c' || k AS chunk_id", "r CROSS JOIN range(2) AS t(k) WHERE o % 5 <> 0")
+    return models.answered(calls, supplied).withColumn("citations", F.array_join("citations", " "))
+
+
+@query(f"""WITH {SOURCE}, v AS (SELECT o * 10 + i AS item_id, CASE i % 4 WHEN 0 THEN 'faithfulness' WHEN 1 THEN 'relevance' WHEN 2 THEN 'refusal' ELSE 'injection' END AS metric,
+    CASE WHEN s % 11 = 0 THEN NULL WHEN i % 4 >= 2 THEN p % 2 WHEN p % 7 BETWEEN 1 AND 5 THEN p % 7 END::DOUBLE AS value, 'because ' || p AS reasoning FROM r) SELECT *, value IS NULL AS failed FROM v""")
+def judgements_parsed(spark, d):
+    said = "'{\"reasoning\": \"because ' || p || '\", ' || CASE WHEN i % 4 >= 2 THEN '\"correct\": ' || CASE WHEN p % 2 = 1 THEN 'true' ELSE 'false' END ELSE '\"score\": ' || (p % 7) END || '}'"
+    metric = "CASE i % 4 WHEN 0 THEN 'faithfulness' WHEN 1 THEN 'relevance' WHEN 2 THEN 'refusal' ELSE 'injection' END"
+    return models.judged(made(spark, d, f"o * 10 + i AS item_id, {metric} AS metric, {said} AS text, CASE WHEN s % 11 = 0 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason"))
+
+
+@query(f"WITH {SOURCE} SELECT o * 10 + i AS query_id, CASE WHEN s % 5 > 1 THEN 'Q' || p END AS statutory_query, CASE WHEN s % 5 > 1 THEN array_to_string(list_transform(range(1, least(i, 4) + 1), lambda k: 'issue ' || k), '|') ELSE '' END AS sub_issues, s % 5 <= 1 AS fell_back FROM r")
+def rewrites_parsed(spark, d):
+    said = "CASE WHEN s % 5 = 0 THEN '[' ELSE '{\"statutory_query\": \"Q' || p || '\", \"sub_issues\": [' || array_join(transform(sequence(1, i), k -> '\"issue ' || k || '\"'), ', ') || ']}' END"
+    out = models.rewritten(made(spark, d, f"o * 10 + i AS query_id, {said} AS text, CASE WHEN s % 5 = 1 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason"))
+    return out.withColumn("sub_issues", F.array_join("sub_issues", "|"))
+
+
+PRINT = pages.PageSettings(header_max_y=30.0, footer_min_y=800.0, min_font_size=6.0, watermark_words=("IndiaCode",), watermark_colors=(255,), footer_patterns=(r"^\d+ of \d+$",))
+
+
+@query(f"""WITH {SOURCE}, l AS (SELECT *, p % 5 <> 0 AND s % 6 <> 0 AS kept FROM r)
+    SELECT o AS page_id, CAST(o % 1000 AS INT) AS page, CAST(row_number() OVER (PARTITION BY o ORDER BY i) AS INT) AS line_no, 'Word' || p || ' and ' || s AS text, 50.0::DOUBLE AS x0, (100 + i * 20)::DOUBLE AS y FROM l WHERE kept""")
+def page_lines(spark, d):
+    """Each row is a line of two spans, a rotated and a coloured one over it, perhaps in a table (p) or a watermark's piece (s);
+    each page has a number in its header."""
+    n = "CAST({} AS DOUBLE)".format
+    cols = lambda t, x0, x1, y, size, color, slope: f"o AS page_id, {t} AS text, {n(x0)} AS x0, {n(f'{y} - 5')} AS y0, {n(x1)} AS x1, {n(f'{y} + 5')} AS y1, {n(size)} AS size, {color} AS color, {n(slope)} AS slope"
+    y, keep = "(100 + i * 20)", "r WHERE s % 6 <> 0"
+    spans = made(spark, d, cols("'Word' || p", 50, 90, y, 10, 0, 0), keep)
+    for part in (
+        made(spark, d, cols("'and ' || s", 95, 140, y, 10, 0, 0), keep), made(spark, d, cols("'di'", 50, 60, y, 10, 0, 0), "r WHERE s % 6 = 0"), made(spark, d, cols("'slanted'", 60, 90, y, 10, 0, 0.7)),
+        made(spark, d, cols("'grey'", 60, 90, y, 10, 255, 0)), made(spark, d, cols("'12'", 141, 143, y, 4, 0, 0)), made(spark, d, "DISTINCT " + cols("CAST(o % 1000 AS STRING)", 300, 320, 20, 10, 0, 0)),
+    ):
+        spans = spans.unionByName(part)
+    tables = made(spark, d, f"o AS page_id, CAST(40 AS DOUBLE) AS x0, {n(y + ' - 8')} AS y0, CAST(200 AS DOUBLE) AS x1, {n(y + ' + 8')} AS y1", "r WHERE p % 5 = 0")
+    return pages.read_page_spans(spans, PRINT, tables)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,37 @@ def run(corpus: DataFrame, vectors: DataFrame | None, golden: DataFrame, s: Sett
     return out.join(checked.withColumnRenamed("answer_id", "query_id"), "query_id", "left").withColumn("refused", F.coalesce("refused", F.lit(True)))
 
 
+@dataclass(frozen=True)
+class Variant:
+    """One row of an ablation: how to retrieve, over which corpus (by name), and from which rewrites."""
+
+    name: str
+    settings: Settings
+    corpus: str = "structure"
+
+
+def grid(corpora: dict[str, tuple[DataFrame, DataFrame | None]], variants: list[Variant], golden: DataFrame, covers: dict[str, DataFrame] | None = None, rewrites: DataFrame | None = None, ks: tuple[int, ...] = evaluation.KS, depth: int = evaluation.DEPTH) -> DataFrame:
+    """Means of each variant by category and over all, on the items that have gold.
+
+    corpora: name to (chunks, vectors). covers: for a corpus of other chunks than the golden ones, (chunk_id, gold_id).
+    A variant boosts only if its settings say so; cross-references are off. One plan a variant: there are few.
+    """
+    items = golden.where(F.size("gold_chunk_ids") > 0).select(F.col("id").alias("query_id"), F.col("question").alias("text"), "category", "gold_chunk_ids")
+    gold = items.select("query_id", F.explode("gold_chunk_ids").alias("chunk_id"))
+    out = None
+    for v in variants:
+        chunks, vectors = corpora[v.corpus]
+        hits = cut(retrieve(chunks, vectors, items.select("query_id", "text"), replace(v.settings, k=max(depth, *ks), cross_refs=False), rewrites))
+        if covers and v.corpus in covers:
+            scores = evaluation.window_metrics(hits, covers[v.corpus], gold, ks, depth)
+        else:
+            scores = evaluation.retrieval_metrics(hits, gold, ks, depth)
+        part = scores.join(items.select("query_id", "category"), "query_id").withColumn("variant", F.lit(v.name))
+        out = part if out is None else out.unionByName(part)
+    cols = [*(f"recall_{k}" for k in ks), f"hit_{ks[-1]}", "mrr"]
+    return out.groupingSets([["variant", "category"], ["variant"]], "variant", "category").agg(F.grouping("category").alias("overall"), F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in cols))
+
+
 def exit_code(problems: int, budget_left: bool, judge_status: str) -> int:
     if problems:
         return INVALID_GOLDEN

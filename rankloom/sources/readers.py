@@ -18,22 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a line with `ord`; missing lists are empty, a bad line or a repeated id raises when read."""
+    """One JSON object a line, blank lines skipped; missing lists are empty, a bad line or a repeated id raises.
+
+    The order is the file's: `ord` as written, or where a line has none, its place among the lines.
+    """
     with_ord = T.StructType([T.StructField("ord", T.LongType()), *schemas.CHUNK.fields])
     rows = spark.read.schema(with_ord).option("mode", "FAILFAST").json(path)
     lists = [f.name for f in schemas.CHUNK.fields if isinstance(f.dataType, T.ArrayType)]
     rows = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists} | {"illustration": F.coalesce("illustration", F.lit(False))})
+    line = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # a block of bytes has fewer lines
+    rows = rows.withColumn("ord", F.coalesce("ord", line))
+    _raise_repeated(rows)
     return rows
 
 
+def _raise_repeated(rows: DataFrame) -> None:
+    twice = rows.groupBy("chunk_id").count().where("count > 1").select("chunk_id").take(5)
+    if twice:
+        raise ValueError(f"repeated chunk ids: {[r.chunk_id for r in twice]}")
+
+
 def union_corpora(parts: list[DataFrame]) -> DataFrame:
     """All parts one after another; ids must be unique."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    twice = out.groupBy("chunk_id").count().where("count > 1").select("chunk_id").take(5)
-    if twice:
-        raise ValueError(f"repeated chunk ids: {[r.chunk_id for r in twice]}")
+    _raise_repeated(out)
     return out
 
 
