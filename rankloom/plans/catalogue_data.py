@@ -122,8 +122,7 @@ def hybrid_parts(spark, d, limit: int) -> tuple[DataFrame, DataFrame]:
 
 
 def hybrid_sql(limit: int, final: int) -> str:
-    both = bm25_sql(limit, "SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)", "SELECT item_id AS query_id, text FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)")
-    return f"""WITH {both}, {dense_sql(limit, "e.vec_id IN (SELECT doc_id FROM documents)", "vec_id IN (SELECT item_id FROM benchmark)")},
+    return f"""WITH {bm25_sql(limit)}, {dense_sql(limit, "e.vec_id IN (SELECT doc_id FROM documents)", "vec_id IN (SELECT item_id FROM benchmark)")},
     lists AS (SELECT query_id, 0 AS list_idx, rank, chunk_id FROM dense UNION ALL SELECT query_id, 1, rank, chunk_id FROM bm25),
     fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list_idx * 1000000 + rank) AS first FROM lists GROUP BY ALL)
     SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank FROM fused) WHERE rank <= {final}"""
@@ -142,13 +141,15 @@ def candidate_limit(spark, d):
 
 
 VARIANTS_SQL = """base AS (SELECT item_id, text, string_split(text, '. ') AS parts FROM benchmark),
-    v AS (SELECT item_id, 0 AS variant_idx, trim(text, ' ') AS text, 1.0::DOUBLE AS weight FROM base UNION ALL SELECT item_id, 1, trim(substr(text, 1, 60), ' '), 1.0 FROM base
+    v AS (SELECT item_id, 0 AS variant_idx, trim(text, ' ') AS text, 1.0::DOUBLE AS weight FROM base UNION ALL SELECT item_id, 1, trim(parts[-1], ' '), 1.0 FROM base
         UNION ALL SELECT item_id, i + 1, trim(parts[i], ' '), 1.0::DOUBLE / least(len(parts), 4) FROM base, range(1, 5) r(i) WHERE i <= len(parts)),
     variants AS (SELECT item_id, variant_idx, text, weight FROM v WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY variant_idx) = 1)"""
 
 
 def rewrites(spark, d) -> DataFrame:
-    return questions(spark, d).select("query_id", F.substring("text", 1, 60).alias("statutory_query"), F.split("text", r"\. ").alias("sub_issues"))
+    """A stand-in for a model's rewrites: the last sentence restates a question, its sentences are the sub-issues."""
+    parts = F.split("text", r"\. ")
+    return questions(spark, d).select("query_id", F.element_at(parts, -1).alias("statutory_query"), parts.alias("sub_issues"))
 
 
 @query(f"WITH {VARIANTS_SQL} SELECT item_id AS query_id, variant_idx::INTEGER AS variant_idx, text, round(weight, 9) AS weight FROM variants")
