@@ -4,7 +4,9 @@ Every rule is evaluated once for each document. The ledger keeps the measurement
 policies are versioned masks over those bits, so a verdict, or what dropping a rule would change, needs no text.
 
 Defined results: a null or empty text has no words, measures 0 everywhere and fails only the rules on length
-and shape; further columns of the input are ignored, repeated rows give repeated rows.
+and shape; a very long text is measured whole; values equal to a rule's limit pass; repeated rows, and rows that share an
+id, give a row each; an empty table gives an empty result; further columns of the input are ignored, also those named
+as the results are.
 """
 
 from __future__ import annotations
