@@ -299,7 +299,7 @@ def log(spark, d) -> DataFrame:
 
 @query(f"WITH {LOG_SQL} SELECT source, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, quantile_disc(latency_ms, 0.99) AS p99, quantile_disc(latency_ms, 1.0) AS p100 FROM log GROUP BY source")
 def latency_percentiles(spark, d):
-    return log(spark, d).groupBy("source").agg(*(requests.percentile("latency_ms", p).alias(f"p{p}") for p in (50, 95, 99, 100)))
+    return requests.nearest_ranks(log(spark, d), "latency_ms", {f"p{p}": p for p in (50, 95, 99, 100)}, "source")
 
 
 @query(f"WITH {LOG_SQL} SELECT config_hash, {SUMMARY_SQL} FROM log GROUP BY config_hash")
