@@ -45,7 +45,8 @@ from .common import Words, as_text, batched, gram_hashes, mixed, remove, settle,
 SPAN, GRAM = 20, 8
 #: Different segments in a shard, and the least runs that deal a larger one anew, in turn.
 MAX_SEGMENTS, DEALS = 2000, (2, 4, 8, SPAN - GRAM + 1)
-HOT_PARTS, SALTS = 10_000, 16
+#: A key of more rows than this share of all and this many more is dealt over several tasks.
+HOT_PARTS, HOT_LEAST = 10_000, 1000
 #: Words of a given reference in one automaton, and automata that are broadcast at a time.
 SHARD_WORDS, SHARDS_AT_ONCE = 250_000, 8
 
@@ -216,31 +217,37 @@ def _dealt_anew(rows: DataFrame, runs: int) -> DataFrame:
     return batched(rows.select(*names), run, "shard bigint, key bigint, anchor bigint, seg bigint, id bigint, start int, j int, n int, words binary")
 
 
-def _salted(many: DataFrame, few: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """An inner join in which one key may hold a third of many: its rows are dealt over SALTS tasks by a hash of `by`."""
-    spread = many.withColumn("__salt", F.pmod(F.xxhash64(by, *keys), F.lit(SALTS)))
-    return spread.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), [*keys, "__salt"]).drop("__salt")
+def _dealt_join(many: DataFrame, few: DataFrame, keys: list[str], by: str, rows: str) -> DataFrame:
+    """An inner join with few, which has a row for each key and how many rows of many have it (column rows), read from a
+    written table: a key with more than its share of all is dealt over several tasks by a hash of `by`."""
+    share = (few.agg(F.sum(rows)).first()[0] or 0) // HOT_PARTS + HOT_LEAST
+    salts = F.ceil(F.col(rows) / share).cast("int")
+    hot = F.broadcast(few.where(F.col(rows) > share).select(*keys, salts.alias("__salts")))  # fewer than HOT_PARTS
+    spread = many.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(by, *keys), F.coalesce("__salts", F.lit(1))).cast("int"))
+    dealt = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return spread.drop("__salts").join(dealt.hint("merge"), [*keys, "__salt"]).drop("__salt")
 
 
 def _masks(content: DataFrame, scratch: list[str]) -> DataFrame:
     """(anchor, seg, mask) of segments (shard, anchor, seg, id, start, j, n, words) whose words differ within a shard."""
     found, rows = [], content
     for runs in (*DEALS, None):
-        sizes = rows.groupBy("shard").agg(F.count("*").alias("segs"))
-        small = sizes.where(F.col("segs") <= MAX_SEGMENTS).select("shard")
-        own = rows.join(small, "shard", "left_semi") if runs else rows  # by all runs a shard is one window
+        sizes = written(rows.groupBy("shard").agg(F.count("*").alias("segs")), "sizes", scratch)
+        sized = _dealt_join(rows, sizes, ["shard"], "seg", "segs")
+        own = sized.where(F.col("segs") <= MAX_SEGMENTS) if runs else sized  # by all runs a shard is one window
         found.append(written(_by_automaton(own), "masks", scratch))
-        large = sizes.where(F.col("segs") > MAX_SEGMENTS).select("shard")
-        if not runs or large.isEmpty():
+        if not runs or sizes.where(F.col("segs") > MAX_SEGMENTS).isEmpty():
             break
-        parts = written(_dealt_anew(_salted(rows, large, ["shard"], "seg"), runs), "parts", scratch)
+        parts = written(_dealt_anew(sized.where(F.col("segs") > MAX_SEGMENTS), runs), "parts", scratch)
         lead = parts.groupBy("shard", "key").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("copies"))
-        parts = _salted(parts, lead, ["shard", "key"], "seg")
+        lead = written(lead, "lead", scratch)
+        parts = _dealt_join(parts, lead, ["shard", "key"], "seg", "copies")
         first = F.expr("id = first.id and start = first.start")
         whole = parts.where(~first).select("anchor", "seg", F.expr("shiftleft(shiftleft(1L, n) - 1L, j)").alias("mask"))
-        found.append(whole)
-        several = lead.groupBy("shard").agg(F.count("*").alias("keys")).where("keys > 1").select("shard")
-        rows = written(_salted(parts.where(first).drop("first", "copies", "key"), several, ["shard"], "seg"), "shards", scratch)
+        found.append(written(whole, "whole", scratch))
+        several = written(lead.groupBy("shard").agg(F.count("*").alias("keys")), "several", scratch)
+        rows = _dealt_join(parts.where(first).drop("first", "copies", "key"), several, ["shard"], "seg", "keys").where("keys > 1").drop("keys")
+        rows = written(rows, "shards", scratch)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -256,27 +263,21 @@ def repeats(docs: DataFrame, scratch: list[str]) -> DataFrame:
         one = docs.join(shared, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         docs = docs.join(shared, "id", "left_anti").unionByName(one)
     flagged = written(anchors(docs).groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1"), "anchors", scratch)
-    share = (flagged.agg(F.sum("times")).first()[0] or 0) // HOT_PARTS + 1000
-    salts = F.ceil(F.col("times") / share).cast("int")
-    hot = F.broadcast(flagged.where(F.col("times") > share).select("anchor", salts.alias("salts")))  # fewer than HOT_PARTS
-    spread = lambda by: F.pmod(F.xxhash64(by), F.coalesce("salts", F.lit(1))).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-    known = flagged.join(hot, "anchor", "left").select("anchor", every.alias("salt"))
-    found = places(docs).join(hot, "anchor", "left").withColumn("salt", spread("id")).join(known, ["anchor", "salt"])
-    found = written(found, "places", scratch)
+    found = written(_dealt_join(places(docs), flagged, ["anchor"], "id", "times"), "places", scratch)
     settle(spark)
-    first = found.groupBy("anchor", "seg").agg(F.min(F.struct("id", "start")).alias("p"), F.max("n").alias("n"), F.max("salts").alias("salts"))
-    first = written(first.select("anchor", "seg", "n", "salts", F.col("p.id").alias("id"), F.col("p.start").alias("start")), "segments", scratch)
-    several = first.groupBy("anchor").agg(F.count("*").alias("segs"), F.max("salts").alias("salts")).where("segs > 1")
-    open_ = first.withColumn("salt", spread("seg")).join(several.select("anchor", every.alias("salt")), ["anchor", "salt"])
+    first = found.groupBy("anchor", "seg").agg(F.min(F.struct("id", "start")).alias("p"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    first = written(first.select("anchor", "seg", "n", "copies", F.col("p.id").alias("id"), F.col("p.start").alias("start")), "segments", scratch)
+    several = written(first.groupBy("anchor").agg(F.count("*").alias("segs")), "several", scratch)
+    open_ = _dealt_join(first, several, ["anchor"], "seg", "segs").where("segs > 1")
     wanted = open_.groupBy("id").agg(F.collect_list(F.struct("anchor", "seg", "start", "n")).alias("of"))
-    content = written(_contents(docs.join(wanted, "id")).withColumn("shard", F.col("anchor")).withColumn("j", F.lit(0)), "contents", scratch)
+    content = written(_contents(docs.join(wanted.hint("merge"), "id")).withColumn("shard", F.col("anchor")).withColumn("j", F.lit(0)), "contents", scratch)
     settle(spark)
     masks = written(_masks(content, scratch), "masks", scratch)
     settle(spark)
-    lead = first.join(masks, ["anchor", "seg"], "left").select("anchor", "seg", every.alias("salt"), F.col("id").alias("lead_id"), F.col("start").alias("lead_start"), F.coalesce("mask", F.lit(0).cast("bigint")).alias("lead_mask"))
+    lead = first.join(masks.hint("merge"), ["anchor", "seg"], "left").select("anchor", "seg", "copies", F.col("id").alias("lead_id"), F.col("start").alias("lead_start"), F.coalesce("mask", F.lit(0).cast("bigint")).alias("lead_mask"))
+    lead = written(lead, "leads", scratch)
     own = F.expr("id = lead_id and start = lead_start")
-    out = found.drop("salts").join(lead, ["anchor", "seg", "salt"]).select("id", "start", "n", F.when(own, F.col("lead_mask")).alias("mask"))
+    out = _dealt_join(found.select("anchor", "seg", "id", "start", "n"), lead, ["anchor", "seg"], "id", "copies").select("id", "start", "n", F.when(own, F.col("lead_mask")).alias("mask"))
     return out.where("mask is null or mask != 0")
 
 
