@@ -26,6 +26,12 @@ def made(spark: SparkSession, d: str, columns: str, of: str = "r") -> DataFrame:
     return spark.sql(f"WITH {SOURCE} SELECT {columns} FROM {of}".replace(" lineitem ", f" parquet.`{d}/lineitem.parquet` "))
 
 
+def several(spark: SparkSession, d: str, key: str, parts: list[tuple[str, str]], of: str = "r") -> DataFrame:
+    """What each of parts (columns, condition) makes of a row, in one pass over the rows."""
+    each = ", ".join(f"CASE WHEN {where} THEN struct({columns}) END" for columns, where in parts)
+    return made(spark, d, f"{key}, inline(array_compact(array({each})))", of)
+
+
 # -- numbers, dates ----------------------------------------------------------------------------------------------------
 
 RULES_SAID = "'Rules ' || (p % 50 + 1) || ', ' || (s % 40 + 60) || ' to ' || (s % 40 + 59 + i % 4) || ' and ' || (o % 30 + 200) || ' apply; see Section ' || (p % 44 + 1) || '(' || i || ') and rule ' || (s % 20 + 300) || '.'"
@@ -188,10 +194,10 @@ def segment_numbered(spark, d):
     UNION ALL SELECT o, i, chr(96 + i), '(' || chr(96 + i) || ') item ' || p || ';' FROM r WHERE s % 2 = 0 OR i < (SELECT max(i) FROM r x WHERE x.o = r.o) UNION ALL SELECT DISTINCT o, 0, 'preamble', 'Notice ' || o || ':' FROM r""")
 def segment_paragraphs(spark, d):
     """The last item of some notices runs on."""
-    opening = made(spark, d, "DISTINCT o AS doc_id, CAST(0 AS BIGINT) AS ord, 'Notice ' || o || ':' AS text")
-    items = made(spark, d, "o AS doc_id, CAST(i * 2 AS BIGINT) AS ord, '(' || chr(96 + i) || ') item ' || p || ';' AS text")
-    more = made(spark, d, "o AS doc_id, CAST(i * 2 + 1 AS BIGINT) AS ord, 'more' AS text", "(SELECT *, max(i) OVER (PARTITION BY o) AS last FROM r) z WHERE s % 2 = 1 AND i = last")
-    return segments.segment_paragraphs(opening.unionByName(items).unionByName(more))
+    opening = "CAST(0 AS BIGINT) AS ord, 'Notice ' || o || ':' AS text"
+    item = "CAST(i * 2 AS BIGINT) AS ord, '(' || chr(96 + i) || ') item ' || p || ';' AS text"
+    more = "CAST(i * 2 + 1 AS BIGINT) AS ord, 'more' AS text"
+    return segments.segment_paragraphs(several(spark, d, "o AS doc_id", [(opening, "i = 1"), (item, "true"), (more, "s % 2 = 1 AND i = last")], "(SELECT *, max(i) OVER (PARTITION BY o) AS last FROM r) z"))
 
 
 @query(f"""WITH {SOURCE} SELECT o AS doc_id, i * 2 - 2 AS seq, 'First Schedule' AS schedule, 'A' AS part, 'rule ' || o AS see, CAST(i AS STRING) AS item, 'Entry ' || p AS text FROM r
