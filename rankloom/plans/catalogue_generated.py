@@ -185,9 +185,9 @@ def reading_order(spark, d):
 @query(f"""WITH {SOURCE}, u AS (SELECT o, i, 1 AS sub, 'Heading ' || p AS title, '(1) first ' || s || ';' || CASE WHEN s % 2 = 0 THEN '' ELSE ' running on ' || o || '.' END AS text FROM r UNION ALL SELECT o, i, 2, 'Heading ' || p, '(2) second ' || o || ';' FROM r WHERE s % 2 = 0)
     SELECT o AS doc_id, CAST(i - 1 + (SELECT count(*) FROM r WHERE r.o = u.o AND s % 2 = 0 AND (r.i < u.i OR (r.i = u.i AND u.sub = 2))) AS INT) AS seq, i AS number, sub, CAST(NULL AS STRING) AS clause, 'text' AS kind, title, CAST(NULL AS STRING) AS chapter, CAST(NULL AS STRING) AS lead_in, text FROM u""")
 def segment_numbered(spark, d):
-    head = made(spark, d, "o AS doc_id, CAST(i * 2 AS BIGINT) AS ord, i || '. Heading ' || p || '— (1) first ' || s || ';' AS text")
-    rest = made(spark, d, "o AS doc_id, CAST(i * 2 + 1 AS BIGINT) AS ord, CASE WHEN s % 2 = 0 THEN '(2) second ' || o || ';' ELSE 'running on ' || o || '.' END AS text")
-    return segments.segment_numbered(head.unionByName(rest))
+    head = "CAST(i * 2 AS BIGINT) AS ord, i || '. Heading ' || p || '— (1) first ' || s || ';' AS text"
+    rest = "CAST(i * 2 + 1 AS BIGINT) AS ord, CASE WHEN s % 2 = 0 THEN '(2) second ' || o || ';' ELSE 'running on ' || o || '.' END AS text"
+    return segments.segment_numbered(several(spark, d, "o AS doc_id", [(head, "true"), (rest, "true")]))
 
 
 @query(f"""WITH {SOURCE} SELECT o AS doc_id, i AS seq, chr(96 + i) AS label, '(' || chr(96 + i) || ') item ' || p || '; more' AS text FROM r WHERE s % 2 = 1 AND i = (SELECT max(i) FROM r x WHERE x.o = r.o)

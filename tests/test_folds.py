@@ -39,3 +39,10 @@ def test_segment_paragraphs(spark, sf_dir, two_rows):
     got = {tuple(r) for r in segments.segment_paragraphs(notices(spark)).collect()}
     want = {(None, 0, "1", "Notice 0:")} | {(k, 0, "preamble", f"Notice {k}:") for k in range(1, 7)}
     assert got == want | {(k, j + 1, chr(97 + j), f"({chr(97 + j)}) item {j};") for k in range(7) for j in range(k)}
+
+
+def test_segment_numbered(spark, sf_dir, two_rows):
+    assert once(spark, sf_dir, "segment_numbered") == 1
+    lines = spark.createDataFrame([(k, j, f"{j}. Head {k}— said;", None if j == 3 else k, j) for k in range(1, 6) for j in range(1, k + 1) if j < 3 or k < 3], "doc_id int, ord int, text string, page int, line_no int")
+    got = {(r.doc_id, r.number): (r.title, r.text, [tuple(s) for s in r.spans]) for r in segments.segment_numbered(lines).collect()}
+    assert got == {(k, j): (f"Head {k}", "said;", [(k, j, 0)]) for k in range(1, 6) for j in range(1, min(k, 2) + 1)}
