@@ -203,12 +203,9 @@ def segment_paragraphs(spark, d):
 @query(f"""WITH {SOURCE} SELECT o AS doc_id, i * 2 - 2 AS seq, 'First Schedule' AS schedule, 'A' AS part, 'rule ' || o AS see, CAST(i AS STRING) AS item, 'Entry ' || p AS text FROM r
     UNION ALL SELECT o, i * 2 - 1, 'First Schedule', 'A', 'rule ' || o, i || '(a)', '(a) sub ' || s FROM r""")
 def segment_schedules(spark, d):
-    heads = [made(spark, d, f"DISTINCT o AS doc_id, CAST({k} AS BIGINT) AS ord, {t} AS text") for k, t in ((-3, "'THE FIRST SCHEDULE'"), (-2, "'[See rule ' || o || ']'"), (-1, "'PART A'"))]
-    rows = [made(spark, d, f"o AS doc_id, CAST(i * 2 + {k} AS BIGINT) AS ord, {t} AS text") for k, t in ((0, "i || '. Entry ' || p"), (1, "'(a) sub ' || s"))]
-    out = heads[0]
-    for more in (*heads[1:], *rows):
-        out = out.unionByName(more)
-    return segments.segment_schedules(out)
+    heads = [(f"CAST({k} AS BIGINT) AS ord, {t} AS text", "i = 1") for k, t in ((-3, "'THE FIRST SCHEDULE'"), (-2, "'[See rule ' || o || ']'"), (-1, "'PART A'"))]
+    rows = [(f"CAST(i * 2 + {k} AS BIGINT) AS ord, {t} AS text", "true") for k, t in ((0, "i || '. Entry ' || p"), (1, "'(a) sub ' || s"))]
+    return segments.segment_schedules(several(spark, d, "o AS doc_id", heads + rows))
 
 
 @query(f"""WITH {SOURCE}, e AS (SELECT o, string_agg('item ' || i, ', ' ORDER BY i) AS error FROM r WHERE s % 7 = 3 GROUP BY o)

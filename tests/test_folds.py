@@ -46,3 +46,10 @@ def test_segment_numbered(spark, sf_dir, two_rows):
     lines = spark.createDataFrame([(k, j, f"{j}. Head {k}— said;", None if j == 3 else k, j) for k in range(1, 6) for j in range(1, k + 1) if j < 3 or k < 3], "doc_id int, ord int, text string, page int, line_no int")
     got = {(r.doc_id, r.number): (r.title, r.text, [tuple(s) for s in r.spans]) for r in segments.segment_numbered(lines).collect()}
     assert got == {(k, j): (f"Head {k}", "said;", [(k, j, 0)]) for k in range(1, 6) for j in range(1, min(k, 2) + 1)}
+
+
+def test_segment_schedules(spark, sf_dir, two_rows):
+    assert once(spark, sf_dir, "segment_schedules") == 1
+    lines = spark.createDataFrame([(k, i, t) for k in range(6) for i, t in enumerate(["THE FIRST SCHEDULE", "PART A", *(f"{j}. entry {j}" for j in range(1, k + 1))])][::-1], "doc_id int, ord bigint, text string")
+    got = {tuple(r) for r in segments.segment_schedules(lines).select("doc_id", "seq", "part", "item", "text").collect()}
+    assert got == {(k, j - 1, "A", str(j), f"entry {j}") for k in range(6) for j in range(1, k + 1)}
