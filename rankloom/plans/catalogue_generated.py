@@ -166,9 +166,9 @@ def anchored_rows(spark, d):
 
 @query(f"SELECT o AS page_id, i AS line_no, 'A' || p || CASE WHEN p % 2 = 0 THEN '' ELSE ' ' END || 'b' || s AS text, 0.0::DOUBLE AS x0, CAST(i * 20 AS DOUBLE) AS y FROM ({ROWS}) r")
 def line_groups(spark, d):
-    one = made(spark, d, "o AS page_id, 'A' || p AS text, CAST(0 AS DOUBLE) AS x0, CAST(10 AS DOUBLE) AS x1, CAST(i * 20 AS DOUBLE) AS y")
-    two = made(spark, d, "o AS page_id, 'b' || s AS text, CAST(CASE WHEN p % 2 = 0 THEN 11 ELSE 13 END AS DOUBLE) AS x0, CAST(30 AS DOUBLE) AS x1, CAST(i * 20 + 1.5 AS DOUBLE) AS y")
-    return segments.line_groups(one.unionByName(two))
+    one = "'A' || p AS text, CAST(0 AS DOUBLE) AS x0, CAST(10 AS DOUBLE) AS x1, CAST(i * 20 AS DOUBLE) AS y"
+    two = "'b' || s AS text, CAST(CASE WHEN p % 2 = 0 THEN 11 ELSE 13 END AS DOUBLE) AS x0, CAST(30 AS DOUBLE) AS x1, CAST(i * 20 + 1.5 AS DOUBLE) AS y"
+    return segments.line_groups(several(spark, d, "o AS page_id", [(one, "true"), (two, "true")]))
 
 
 @query(f"""WITH {SOURCE}, b AS (SELECT o, i, CAST(p % 100 AS DOUBLE) AS y0, 'L' || p AS shown, 0 AS t FROM r UNION ALL SELECT o, i, CAST(s % 100 AS DOUBLE), '<T' || s || '>', 1 FROM r WHERE s % 3 = 0)

@@ -53,3 +53,10 @@ def test_segment_schedules(spark, sf_dir, two_rows):
     lines = spark.createDataFrame([(k, i, t) for k in range(6) for i, t in enumerate(["THE FIRST SCHEDULE", "PART A", *(f"{j}. entry {j}" for j in range(1, k + 1))])][::-1], "doc_id int, ord bigint, text string")
     got = {tuple(r) for r in segments.segment_schedules(lines).select("doc_id", "seq", "part", "item", "text").collect()}
     assert got == {(k, j - 1, "A", str(j), f"entry {j}") for k in range(6) for j in range(1, k + 1)}
+
+
+def test_line_groups(spark, sf_dir, two_rows):
+    assert once(spark, sf_dir, "line_groups") == 1
+    spans = [(k, f"{j}{c}", x, x + 9.0, 20.0 * j + x / 8) for k in range(6) for j in range(k) for c, x in (("a", 0.0), ("b", 12.0), ("c", 21.0))] + [(5, None, None, None, None)]
+    got = {(r.page_id, r.line_no): (r.text, r.x0, r.y) for r in segments.line_groups(spark.createDataFrame(spans[::-1], "page_id int, text string, x0 double, x1 double, y double")).collect()}
+    assert got == {(k, j + 1): (f"{j}a {j}b{j}c", 0.0, 20.0 * j) for k in range(6) for j in range(k)} | {(5, 6): ("", None, None)}
