@@ -272,13 +272,11 @@ def page_lines(spark, d):
     """Each row is a line of two spans, a rotated and a coloured one over it, perhaps in a table (p) or a watermark's piece (s);
     each page has a number in its header."""
     n = "CAST({} AS DOUBLE)".format
-    cols = lambda t, x0, x1, y, size, color, slope: f"o AS page_id, {t} AS text, {n(x0)} AS x0, {n(f'{y} - 5')} AS y0, {n(x1)} AS x1, {n(f'{y} + 5')} AS y1, {n(size)} AS size, {color} AS color, {n(slope)} AS slope"
-    y, keep = "(100 + i * 20)", "r WHERE s % 6 <> 0"
-    spans = made(spark, d, cols("'Word' || p", 50, 90, y, 10, 0, 0), keep)
-    for part in (
-        made(spark, d, cols("'and ' || s", 95, 140, y, 10, 0, 0), keep), made(spark, d, cols("'di'", 50, 60, y, 10, 0, 0), "r WHERE s % 6 = 0"), made(spark, d, cols("'slanted'", 60, 90, y, 10, 0, 0.7)),
-        made(spark, d, cols("'grey'", 60, 90, y, 10, 255, 0)), made(spark, d, cols("'12'", 141, 143, y, 4, 0, 0)), made(spark, d, "DISTINCT " + cols("CAST(o % 1000 AS STRING)", 300, 320, 20, 10, 0, 0)),
-    ):
-        spans = spans.unionByName(part)
+    cols = lambda t, x0, x1, y, size, color, slope: f"{t} AS text, {n(x0)} AS x0, {n(f'{y} - 5')} AS y0, {n(x1)} AS x1, {n(f'{y} + 5')} AS y1, {n(size)} AS size, {color} AS color, {n(slope)} AS slope"
+    y, keep = "(100 + i * 20)", "s % 6 <> 0"
+    spans = several(spark, d, "o AS page_id", [
+        (cols("'Word' || p", 50, 90, y, 10, 0, 0), keep), (cols("'and ' || s", 95, 140, y, 10, 0, 0), keep), (cols("'di'", 50, 60, y, 10, 0, 0), "s % 6 = 0"), (cols("'slanted'", 60, 90, y, 10, 0, 0.7), "true"),
+        (cols("'grey'", 60, 90, y, 10, 255, 0), "true"), (cols("'12'", 141, 143, y, 4, 0, 0), "true"), (cols("CAST(o % 1000 AS STRING)", 300, 320, 20, 10, 0, 0), "i = 1"),
+    ])
     tables = made(spark, d, f"o AS page_id, CAST(40 AS DOUBLE) AS x0, {n(y + ' - 8')} AS y0, CAST(200 AS DOUBLE) AS x1, {n(y + ' + 8')} AS y1", "r WHERE p % 5 = 0")
     return pages.read_page_spans(spans, PRINT, tables)

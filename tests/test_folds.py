@@ -60,3 +60,8 @@ def test_line_groups(spark, sf_dir, two_rows):
     spans = [(k, f"{j}{c}", x, x + 9.0, 20.0 * j + x / 8) for k in range(6) for j in range(k) for c, x in (("a", 0.0), ("b", 12.0), ("c", 21.0))] + [(5, None, None, None, None)]
     got = {(r.page_id, r.line_no): (r.text, r.x0, r.y) for r in segments.line_groups(spark.createDataFrame(spans[::-1], "page_id int, text string, x0 double, x1 double, y double")).collect()}
     assert got == {(k, j + 1): (f"{j}a {j}b{j}c", 0.0, 20.0 * j) for k in range(6) for j in range(k)} | {(5, 6): ("", None, None)}
+
+
+def test_page_lines(spark, sf_dir, two_rows):
+    assert once(spark, sf_dir, "page_lines") == 3  # body, boxes of tables, numbers
+    compare(spark, sf_dir, catalogue.QUERIES["page_lines"], catalogue.ORACLE["page_lines"])
