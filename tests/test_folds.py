@@ -65,3 +65,12 @@ def test_line_groups(spark, sf_dir, two_rows):
 def test_page_lines(spark, sf_dir, two_rows):
     assert once(spark, sf_dir, "page_lines") == 3  # body, boxes of tables, numbers
     compare(spark, sf_dir, catalogue.QUERIES["page_lines"], catalogue.ORACLE["page_lines"])
+
+
+def test_apply_patches(spark, sf_dir, two_rows):
+    assert once(spark, sf_dir, "apply_patches") == 2
+    chunks = spark.createDataFrame([(d, f"{d}:{i}", i, "It may." if i else None, [(1, i, 0)] if i else None) for d in range(5) for i in range(d + 1)], f"doc_id int, chunk_id string, ord int, text string, spans {segments.SPANS}")
+    patches = spark.createDataFrame([(d, k, f"({k})", 1, line, None, old, "shall", "replace") for d in (2, 4, 9) for k, line, old in ((1, 2, "may"), (2, None, "It"), (3, 1, "ay"))], "doc_id int, seq int, item string, page int, line int, line_end int, old_text string, new_text string, kind string")
+    got = {r.chunk_id: (r.text, r.text_original, r.n_patches, r.error) for r in segments.apply_patches(chunks, patches).collect()}
+    assert got["2:2"] == ("It shall.", "It may.", 1, "(3)") and got["2:1"] == ("shall may.", "It may.", 1, "(3)") and got["2:0"] == (None, None, 0, "(3)")
+    assert got["4:2"][0] == "It shall." and got["4:4"] == ("It may.", None, 0, "(3)") and got["3:3"] == ("It may.", None, 0, None) and len(got) == 15
